@@ -341,9 +341,9 @@ def _as_text(df: DataFrame, name: str) -> Column:
     if kind == "boolean":
         text = F.when(value, "Oui").otherwise("Non")
     elif kind.startswith("decimal") or kind in ("double", "float"):
-        fixed = F.format_string("%.6f", value.cast("decimal(38,6)"))
+        fixed = value.cast("decimal(38,6)").cast("string")
         short = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "\\.$", "")
-        text = F.translate(F.when(short == "-0", "0").otherwise(short), ".", ",")
+        text = F.translate(short, ".", ",")
     elif kind in ("tinyint", "smallint", "int", "bigint"):
         text = value.cast("string")
     else:

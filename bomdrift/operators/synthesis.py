@@ -68,7 +68,7 @@ def week_column(monday: date) -> str:
 
 def _coef_text(coef: Column) -> Column:
     """Coefficient with up to four decimals, a comma and no trailing zeros."""
-    text = F.format_string("%.4f", coef.cast("decimal(20,4)"))
+    text = coef.cast("decimal(20,4)").cast("string")
     short = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
     return F.coalesce(F.when(coef.isNotNull(), F.translate(short, ".", ",")), F.lit(_DASH))
 

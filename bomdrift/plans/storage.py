@@ -39,7 +39,7 @@ def laid_out(df: DataFrame) -> DataFrame:
     REBALANCE lets AQE split a hot year over several files and merge small ones; the local
     sort gives row-group statistics that skip other weeks and lines.
     """
-    if "week_start" not in df.columns:
+    if "iso_year" not in df.columns:
         return df
     order = [c for c in ("week_start", "parent_line", "component_id") if c in df.columns]
     return df.hint("rebalance", F.col("iso_year")).sortWithinPartitions(*order)

@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     for key, value in settings.items():
