@@ -16,6 +16,11 @@ def number(value: float | int | Decimal) -> Column:
     return F.lit(Decimal(str(value)))
 
 
+def decimal_text(value: float | int | Decimal) -> str:
+    """The number as an exact SQL literal."""
+    return format(Decimal(str(value)), "f")
+
+
 def zero() -> Column:
     return F.lit(0).cast(S.QTY)
 

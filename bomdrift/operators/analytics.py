@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bomdrift import schemas as S
 from bomdrift.functions import rates
 from bomdrift.functions.calendar import iso_week, week_label, week_start
-from bomdrift.functions.measures import order_status_rank, positive, ratio_pct, zero
+from bomdrift.functions.measures import order_status_rank, ratio_pct, zero
 from bomdrift.operators.combine import one_row
 from bomdrift.operators.selection import Selection
 
@@ -31,11 +31,6 @@ _COUNTS = (
     "row_count", "variance_row_count", "parent_count", "component_count", "program_count",
     "line_count", "week_count",
 )
-_SUMS = (
-    "expected_qty", "actual_qty", "expected_value", "variance_qty", "under_qty", "over_qty",
-    "variance_value", "under_value", "over_value", "abs_value", "abs_qty", "product_equivalent",
-)
-MEASURES = _COUNTS + _SUMS
 
 
 def _check_measure(measure: str) -> None:
@@ -47,31 +42,40 @@ def _clamp(value: int, low: int, high: int) -> int:
     return max(low, min(int(value), high))
 
 
+_SUMMED = {
+    "expected_qty": "expected_qty",
+    "actual_qty": "actual_qty",
+    "expected_value": "expected_qty * coalesce(unit_cost, 0)",
+    "variance_qty": "variance_qty",
+    "under_qty": "greatest(variance_qty, 0)",
+    "over_qty": "greatest(-variance_qty, 0)",
+    "variance_value": "variance_value",
+    "under_value": "greatest(variance_value, 0)",
+    "over_value": "greatest(-variance_value, 0)",
+    "abs_value": "abs(variance_value)",
+    "abs_qty": "abs(variance_qty)",
+    "product_equivalent": "product_equivalent",
+}
+MEASURES = (*_COUNTS, *_SUMMED)
+_DISTINCT = {
+    "parent_count": "parent_id",
+    "component_count": "component_id",
+    "program_count": "parent_program",
+    "line_count": "parent_line",
+    "week_count": "week_start",
+}
+
+
 def measures(sel: Selection) -> list[Column]:
     """The 19 measures; an empty selection gives zeros."""
-    qty, value = F.col("variance_qty"), F.col("variance_value")
-    total = lambda x, name: F.coalesce(F.sum(x), zero()).alias(name)
-    return [
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(sel.variance_type() != S.CONFORMING).alias("variance_row_count"),
-        F.countDistinct("parent_id").alias("parent_count"),
-        F.countDistinct("component_id").alias("component_count"),
-        F.countDistinct("parent_program").alias("program_count"),
-        F.countDistinct("parent_line").alias("line_count"),
-        F.countDistinct("week_start").alias("week_count"),
-        total("expected_qty", "expected_qty"),
-        total("actual_qty", "actual_qty"),
-        total(F.col("expected_qty") * F.coalesce("unit_cost", zero()), "expected_value"),
-        total(qty, "variance_qty"),
-        total(positive(qty), "under_qty"),
-        total(positive(-qty), "over_qty"),
-        total(value, "variance_value"),
-        total(positive(value), "under_value"),
-        total(positive(-value), "over_value"),
-        total(F.abs(value), "abs_value"),
-        total(F.abs(qty), "abs_qty"),
-        total("product_equivalent", "product_equivalent"),
+    off = f"({sel.variance_type_sql()}) != '{S.CONFORMING}'"
+    texts = [
+        "count(1) AS row_count",
+        f"count_if({off}) AS variance_row_count",
+        *[f"count(DISTINCT {column}) AS {name}" for name, column in _DISTINCT.items()],
+        *[f"coalesce(sum({x}), 0) AS {name}" for name, x in _SUMMED.items()],
     ]
+    return [F.expr(text) for text in texts]
 
 
 def impact(measure: str) -> str:
@@ -100,16 +104,17 @@ _KPIS = (
 )
 
 
-def _kpi_values(measure: str, prefix: str) -> list[Column]:
+def _kpi_values(measure: str, prefix: str) -> list[str]:
     value = measure == VALUE
-    d = lambda name: F.col(prefix + name).cast("double")
+    d = lambda name: f"CAST({prefix}{name} AS DOUBLE)"
+    reliability = rates.reliability_value_sql if value else rates.reliability_qty_sql
     return [
         d("variance_value" if value else "variance_qty"),
         d("under_value" if value else "under_qty"),
         d("over_value" if value else "over_qty"),
-        rates.reliability_value(prefix) if value else rates.reliability_qty(prefix),
-        rates.conformity_rate(prefix),
-        rates.global_pct(prefix),
+        reliability(prefix),
+        rates.conformity_rate_sql(prefix),
+        rates.global_pct_sql(prefix),
         d("component_count"),
         d("variance_row_count"),
     ]
@@ -118,27 +123,18 @@ def _kpi_values(measure: str, prefix: str) -> list[Column]:
 def kpi_rows(bundle: DataFrame, measure: str = VALUE, compared: bool = False) -> DataFrame:
     """Indicators, one row each, from a row of cur_* (and prev_*) measures."""
     _check_measure(measure)
-    current = _kpi_values(measure, "cur_")
-    previous = _kpi_values(measure, "prev_") if compared else [None] * len(current)
+    current, previous = _kpi_values(measure, "cur_"), _kpi_values(measure, "prev_")
     rows = []
     for position, (spec, cur, prev) in enumerate(zip(_KPIS, current, previous, strict=True), 1):
         key, unit_value, unit_qty, good = spec
-        if prev is None:
-            pct = change = F.lit(None).cast("double")
-        else:
-            pct, change = rates.variation(cur, prev)
+        unit = unit_value if measure == VALUE else unit_qty
+        none = "CAST(NULL AS DOUBLE)"
+        pct, change = rates.variation_sql(cur, prev) if compared else (none, none)
         rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(key).alias("indicator"),
-                F.lit(unit_value if measure == VALUE else unit_qty).alias("unit"),
-                F.lit(good).alias("favourable"),
-                cur.alias("value"),
-                pct.alias("change_pct"),
-                change.alias("change"),
-            )
+            f"named_struct('position', {position}, 'indicator', '{key}', 'unit', '{unit}',"
+            f" 'favourable', '{good}', 'value', {cur}, 'change_pct', {pct}, 'change', {change})"
         )
-    return bundle.select(F.inline(F.array(*rows)))
+    return bundle.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def kpis(fact: DataFrame, sel: Selection, measure: str = VALUE, compare: bool = True) -> DataFrame:
@@ -150,7 +146,7 @@ def kpis(fact: DataFrame, sel: Selection, measure: str = VALUE, compare: bool =
     compared = compare and bool(sel.date_from and sel.date_to)
     if not compared:
         bundle = aggregate(fact, sel)
-        return kpi_rows(bundle.select(*[F.col(m).alias(f"cur_{m}") for m in MEASURES]), measure)
+        return kpi_rows(bundle.selectExpr(*[f"{m} AS cur_{m}" for m in MEASURES]), measure)
     now, before = sel.predicate(fact), sel.previous().predicate(fact)
     by_period = (
         fact.withColumn("period", F.when(now, "cur").when(before, "prev"))
@@ -159,7 +155,7 @@ def kpis(fact: DataFrame, sel: Selection, measure: str = VALUE, compare: bool =
         .agg(*measures(sel))
     )
     sides = [
-        F.coalesce(F.max(F.when(F.col("period") == side, F.col(m))), F.lit(0)).alias(f"{side}_{m}")
+        F.expr(f"coalesce(max(CASE WHEN period = '{side}' THEN {m} END), 0) AS {side}_{m}")
         for side in ("cur", "prev")
         for m in MEASURES
     ]
@@ -195,10 +191,10 @@ def weekly_series(fact: DataFrame, sel: Selection, fact_raw: DataFrame) -> DataF
     selected = sel.apply(fact)
     by_week = selected.groupBy("week_start").agg(*measures(sel))
     calendar = week_calendar(fact_raw, selected, sel)
-    return calendar.join(by_week, "week_start", "left").select(
-        "week_start", "iso_year", "iso_week",
-        week_label("iso_year", "iso_week").alias("week_label"),
-        *[F.coalesce(m, F.lit(0)).alias(m) for m in MEASURES],
+    labelled = calendar.withColumn("week_label", week_label("iso_year", "iso_week"))
+    return labelled.join(by_week, "week_start", "left").selectExpr(
+        "week_start", "iso_year", "iso_week", "week_label",
+        *[f"coalesce({m}, 0) AS {m}" for m in MEASURES],
     )
 
 

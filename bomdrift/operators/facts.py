@@ -246,7 +246,9 @@ def fact_variance_order(
         F.col("close_date").alias("order_close_date"),
         order_status_label(F.col("status")).alias("order_status"),
     )
-    return _enrich(base, dim_item, line_coef, tolerance).join(headers, "order_id", "left").select(
+    # The header joins first: if orders are too many to broadcast, narrow rows are shuffled.
+    headed = base.join(headers, "order_id", "left")
+    return _enrich(headed, dim_item, line_coef, tolerance).select(
         *iso_week("week_start"),
         "order_id", "order_bom_id", "order_close_date", "order_status",
         "parent_id", "parent_program", "parent_line", "parent_name", "parent_category",

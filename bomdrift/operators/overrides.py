@@ -20,7 +20,7 @@ BATCH_MAX = 1_000
 
 def drop_excluded(fact: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop rows whose component or parent is excluded: two anti joins on equality."""
-    ids = excluded.select("item_id").distinct()
+    ids = excluded.select("item_id")
     for column in ("component_id", "parent_id"):
         fact = fact.join(ids.withColumnRenamed("item_id", column), column, "left_anti")
     return fact

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
 from bomdrift.functions.calendar import monday_of
-from bomdrift.functions.measures import number
+from bomdrift.functions.measures import decimal_text, number
 
 # Limits on user input.
 LIST_MAX = 500
@@ -101,15 +101,19 @@ class Selection:
         return self.with_(date_from=None, date_to=None, weeks=())
 
     # -- columns ------------------------------------------------------------
-    def variance_type(self) -> Column:
+    def variance_type_sql(self) -> str:
         """Type recomputed from the tolerances: absolute, or relative when given."""
-        qty, pct = F.col("variance_qty"), F.col("variance_pct")
-        conforming = F.abs(qty) <= number(self.tolerance)
+        conforming = f"abs(variance_qty) <= {decimal_text(self.tolerance)}"
         if self.tolerance_pct is not None:
-            conforming = conforming | F.coalesce(
-                F.abs(pct) <= number(self.tolerance_pct), F.lit(False)
-            )
-        return F.when(conforming, S.CONFORMING).when(qty > 0, S.UNDER).otherwise(S.OVER)
+            limit = decimal_text(self.tolerance_pct)
+            conforming += f" OR coalesce(abs(variance_pct) <= {limit}, false)"
+        return (
+            f"CASE WHEN {conforming} THEN '{S.CONFORMING}'"
+            f" WHEN variance_qty > 0 THEN '{S.UNDER}' ELSE '{S.OVER}' END"
+        )
+
+    def variance_type(self) -> Column:
+        return F.expr(self.variance_type_sql())
 
     def conditions(self, columns: list[str]) -> list[Column]:
         """The filters to be ANDed; order filters only where the order axis exists."""

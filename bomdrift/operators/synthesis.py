@@ -99,9 +99,10 @@ def crosstab(
         )
     )
     in_week = [
-        F.coalesce(
-            F.sum(F.when(F.col("week_start") == F.lit(week), F.col("amount"))), zero()
-        ).alias(week_column(week))
+        F.expr(
+            f"coalesce(sum(amount) FILTER (WHERE week_start = DATE '{week}'), 0)"
+            f" AS {week_column(week)}"
+        )
         for week in weeks
     ]
     columns = [week_column(week) for week in weeks]
@@ -122,7 +123,10 @@ def crosstab(
     whole = F.coalesce(F.sum(F.when(is_made, F.col("total"))), zero())
     gaps = F.coalesce(F.sum(F.when(~is_made, F.abs("total"))), zero())
     total = rows.agg(
-        *[F.coalesce(F.sum(F.when(is_made, F.col(c))), zero()).alias(c) for c in columns],
+        *[
+            F.expr(f"coalesce(sum({c}) FILTER (WHERE block = 'production'), 0) AS {c}")
+            for c in columns
+        ],
         whole.alias("total"),
         gaps.alias("gaps"),
     ).select(

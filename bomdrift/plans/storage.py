@@ -34,15 +34,16 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
 
 
 def laid_out(df: DataFrame) -> DataFrame:
-    """Arrange a table with weeks for pruning: balanced files, sorted by week.
+    """Arrange a table with weeks for pruning: balanced files by year and line, week order.
 
-    REBALANCE lets AQE split a hot year over several files and merge small ones; the local
-    sort gives row-group statistics that skip other weeks and lines.
+    REBALANCE lets AQE split a hot year or line over several files and merge small ones; the
+    local sort gives the page statistics that skip other weeks.
     """
     if "iso_year" not in df.columns:
         return df
+    spread = [c for c in ("iso_year", "parent_line", "line") if c in df.columns]
     order = [c for c in ("week_start", "parent_line", "component_id") if c in df.columns]
-    return df.hint("rebalance", F.col("iso_year")).sortWithinPartitions(*order)
+    return df.hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*order)
 
 
 def write(df: DataFrame, path: str) -> None:

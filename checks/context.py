@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bomdrift.operators import overrides
@@ -50,13 +49,23 @@ class Context:
             return self.lazy
         return jobs.build(self.spark, self.sources, self.params, f"{self.folder}/model")
 
+    def _user_table(self, name: str, rows: DataFrame) -> DataFrame:
+        """A user-written table, stored like the model so that its size is known."""
+        if self.folder is None:
+            return rows
+        path = f"{self.folder}/user/{name}"
+        storage.write(rows, path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def bom_over(self) -> DataFrame:
-        return testdata.bom_overrides(self.spark, self.sf_dir)
+        rows = testdata.bom_overrides(self.spark, self.sf_dir)
+        return self._user_table("bom_override", rows)
 
     @cached_property
     def excluded(self) -> DataFrame:
-        return testdata.item_exclusions(self.spark, self.sf_dir)
+        rows = testdata.item_exclusions(self.spark, self.sf_dir)
+        return self._user_table("item_exclusion", rows)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -96,10 +105,11 @@ def shown(df: DataFrame) -> DataFrame:
     """Comparable types: decimals as doubles of four places, counts as 64-bit integers."""
     columns = []
     for f in df.schema:
-        column = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DecimalType, T.DoubleType)):
-            column = F.round(column.cast("double"), 4)
+            columns.append(f"round(CAST({name} AS DOUBLE), 4) AS {name}")
         elif isinstance(f.dataType, T.IntegerType):
-            column = column.cast("long")
-        columns.append(column.alias(f.name))
-    return df.select(*columns)
+            columns.append(f"CAST({name} AS BIGINT) AS {name}")
+        else:
+            columns.append(name)
+    return df.selectExpr(*columns)
