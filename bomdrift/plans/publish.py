@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
 from bomdrift.operators import grids
-from bomdrift.operators.combine import upsert
 from bomdrift.plans import storage
 from bomdrift.plans.build import Model
 
@@ -48,7 +48,8 @@ def log_row(
 
 def record_load(log: DataFrame, row: tuple) -> DataFrame:
     """The log with the table's row added or replaced."""
-    return upsert(log, log.sparkSession.createDataFrame([row], S.LOAD_LOG), ["table_name"])
+    new = log.sparkSession.createDataFrame([row], S.LOAD_LOG)
+    return log.filter(F.col("table_name") != row[0]).unionByName(new)
 
 
 def _store(spark: SparkSession, out_dir: str, row: tuple) -> None:

@@ -18,7 +18,10 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "4g", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "4g", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.maxMetadataStringLength": "5000",  # whole paths and filters in plans
+    })
     yield session
     session.stop()
 
