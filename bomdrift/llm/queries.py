@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, packing, quality, wavelet
+from bomdrift.llm import decontaminate, jaccard, packing, quality, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,7 +40,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -59,4 +63,18 @@ SELECT a.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM a LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLE = {"op6_decontamination": _OP6}
+_OP8 = f"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
+l AS (SELECT doc_id, i, {", ".join(f"lead(w, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS w{k}" for k in range(5))}, count(*) OVER (PARTITION BY doc_id) AS n FROM w),
+s AS (SELECT DISTINCT doc_id, hash(concat_ws(' ', w0, w1, w2, w3, w4)) AS s FROM l WHERE w4 IS NOT NULL OR (n < 5 AND i = 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * k >= 80 * (u.n + v.n - k)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM a UNION SELECT d.b, r.c FROM r JOIN d ON d.a = r.doc_id WHERE r.c < d.b)
+SELECT a.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+FROM a LEFT JOIN z USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+ORACLE = {"op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
