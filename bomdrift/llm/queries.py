@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, jaccard, packing, quality, wavelet
+from bomdrift.llm import decontaminate, jaccard, packing, quality, substrings, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -44,7 +48,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -77,4 +81,17 @@ SELECT a.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_i
 FROM a LEFT JOIN z USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
 """
 
-ORACLE = {"op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
+_OP2 = f"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
+g AS (SELECT doc_id, i, w, CASE WHEN count(*) OVER v = 50 THEN md5_number(string_agg(w, ' ') OVER v) END AS g FROM w
+      WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT g, min(doc_id) AS least FROM g WHERE g IS NOT NULL GROUP BY g),
+h AS (SELECT g.doc_id, i, w, coalesce(least < g.doc_id, false) AS hit FROM g LEFT JOIN m USING (g)),
+c AS (SELECT doc_id, i, w, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT a.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM a LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE = {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
