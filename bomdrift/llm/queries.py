@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, jaccard, packing, quality, substrings, wavelet
+from bomdrift.llm import decontaminate, jaccard, packing, quality, substrings, warc, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, "^urn:x-page:(-?[0-9]+)$", 1).cast("long")
+    read = F.col("record_type") == "response"  # of these the payload itself is measured
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(read, F.sha1("payload")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -48,7 +60,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -94,4 +106,13 @@ SELECT a.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_
 FROM a LEFT JOIN r USING (doc_id)
 """
 
-ORACLE = {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
+_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+g AS (SELECT h, max(page_id) AS head FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM d LEFT JOIN g USING (h)
+"""
+
+ORACLE = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
