@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, jaccard, packing, quality, substrings, warc, wavelet
+from bomdrift.llm import decontaminate, jaccard, licenses, packing, quality, substrings, warc, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,11 +56,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognised(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -115,4 +120,29 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN head
 FROM d LEFT JOIN g USING (h)
 """
 
-ORACLE = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op8_ngram_jaccard_join": _OP8}
+def _op7() -> str:
+    """Sentences by a join with the known ones, rules by lists of positions."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.SENTENCES.items())
+    norm = lambda x: f"trim(regexp_replace({x}, '{licenses.BETWEEN}', ' ', 'g'))"
+    steps, left = [], "left0"
+    for k, (name, own) in enumerate(licenses.RULES):
+        rule, rest = licenses._rule(own), "".join(f"\\{i}" for i in range(1, len(own)))
+        steps.append(f"r{k} AS (SELECT * REPLACE (regexp_replace(rest, '{rule}', '{rest}', 'g') AS rest, CASE WHEN regexp_matches(rest, '{rule}') THEN list_append(found, '{name}') ELSE found END AS found) FROM {left})")
+        left = f"r{k}"
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+plain AS (SELECT doc_id, translate(coalesce(text, ''), {quoted(licenses.UPPER + licenses.MARKS)}, {quoted(licenses.LOWER + " " * len(licenses.MARKS))}) AS t FROM documents),
+s AS (SELECT doc_id, i, unnest([s]) AS s FROM (SELECT doc_id, unnest(string_split_regex(t, '{licenses.ENDS}')) AS s, generate_subscripts(string_split_regex(t, '{licenses.ENDS}'), 1) AS i FROM plain)),
+n AS (SELECT doc_id, i, s, k.id FROM s LEFT JOIN known k ON k.sentence = {norm("s")}),
+l AS (SELECT doc_id, i, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM n WHERE id IS NULL),
+f AS (SELECT doc_id, i, 0 AS j, id FROM n WHERE id IS NOT NULL UNION ALL SELECT doc_id, i, j, k.id FROM l JOIN known k ON k.sentence = {norm("l.s")}),
+left0 AS (SELECT doc_id, count(*) AS n_known, string_agg(id, ' ' ORDER BY i, j) AS sentence_ids, ' ' || string_agg(id, '  ' ORDER BY i, j) || ' ' AS rest, []::VARCHAR[] AS found FROM f GROUP BY doc_id),
+{", ".join(steps)}
+SELECT d.doc_id, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(sentence_ids, '') AS sentence_ids,
+       coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses
+FROM documents d LEFT JOIN {left} USING (doc_id)
+"""
+
+
+ORACLE = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
