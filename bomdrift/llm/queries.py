@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, hmm, jaccard, licenses, packing, quality, substrings, warc, wavelet
+from bomdrift.llm import decontaminate, hmm, jaccard, language, licenses, packing, quality, substrings, warc, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,7 +69,11 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"), F.coalesce(hmm.remainder() == 1, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"), F.coalesce(hmm.remainder() == 0, F.lit(False)))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from bomdrift.llm.words import _BASE, _BYTE, FOLD, _rolling, process_cache, slices, words
 
 #: Distinct pieces that a Python worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 _LETTERS, _DIGIT, _OTHER, _UNSAFE = 1, 2, 3, 4
 _CLASS = np.full(256, _UNSAFE, np.uint8)
