@@ -91,25 +91,24 @@ def _without(w: Words, hit: np.ndarray, text: str) -> str:
     return b"".join([*parts, raw[base:]]).decode()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), cleaned (the text without hit words) for every row of docs.
+def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """doc_id, `keep`, n_words, n_hit, items (sorted), cleaned (the text without hit words) for every row of docs.
 
     Cleaning repeats until no window occurs: cutting a span can bring words together.
     """
     spark = docs.sparkSession
     grams = written(item_windows(benchmark, size), "benchmark")
     blocks = max(1, -(-grams.count() // block))
-    frame = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("items"), F.col("text").alias("cleaned"))
+    frame = docs.select("doc_id", *keep, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("items"), F.col("text").alias("cleaned"))
     for k in range(blocks):
         rows = grams.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).select("n", "window", "item").collect()
         frame = _scan(frame, spark.sparkContext.broadcast([(n, bytes(window), item) for n, window, item in rows]))
         if k < blocks - 1:
             frame = written(frame, "scanned")
-    return frame.select("doc_id", "n_words", F.size("at").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "cleaned")
+    return frame.select("doc_id", *keep, "n_words", F.size("at").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "cleaned")
 
 
 def _scan(frame: DataFrame, rows) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("at", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("cleaned", pa.string())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(rows.value)
@@ -128,6 +127,7 @@ def _scan(frame: DataFrame, rows) -> DataFrame:
                     if not cut.any():
                         break
                     cleaned[row] = _without(own, cut, cleaned[row])
-            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), batch["text"].cast(pa.string()), pa.array(np.diff(w.offset), pa.int64()), pa.array(at, schema.field("at").type), pa.array(items, schema.field("items").type), pa.array(cleaned, pa.string())], schema=schema)
+            new = {"n_words": pa.array(np.diff(w.offset), pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "cleaned": pa.array(cleaned, pa.string())}
+            yield pa.record_batch([new[n] if n in new else batch[n] for n in batch.schema.names], batch.schema.names)
 
     return frame.mapInArrow(search, frame.schema)

@@ -222,3 +222,17 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     result = full.select("doc_id", "n", "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     whole = lambda c: F.nullif(F.col(c), F.lit(NONE)).alias(c)
     return result.select(whole("doc_id"), F.col("n").alias("n_shingles"), whole("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their class; of rows that repeat a doc_id, one stays.
+
+    Rows without doc_id stay where no row of their class has one.
+    """
+    kept = written(classes(docs, size).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    if ids.where("count > 1").head(1):
+        named = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        rows = named.unionByName(rows.where("doc_id IS NULL"))
+    return rows

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from bomdrift.llm.store import written
+from bomdrift.llm.store import bundled, unbundled, written
 from bomdrift.llm.words import slices, words
 
 MIN_WORDS = 50
@@ -46,8 +45,8 @@ RULES = {
 START = {-1: (0.30, 0.05), 1: (0.30, 0.70)}
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and MEASURES of every whole text."""
+def measures(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and MEASURES of every whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -76,10 +75,10 @@ def measures(docs: DataFrame) -> DataFrame:
                 "n_distinct": np.bincount(row[one], minlength=rows),
                 "n_short": np.bincount(row[length <= 4], minlength=rows),
             }
-            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), *(pa.array(np.asarray(out[k]).astype(np.int64)) for k in MEASURES)], ["doc_id", *MEASURES])
+            yield pa.record_batch([*(batch[c] for c in keep), *(pa.array(np.asarray(out[k]).astype(np.int64)) for k in MEASURES)], [*keep, *MEASURES])
 
-    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_id", *MEASURES)])
-    return docs.select("doc_id", "text").mapInArrow(count, schema)
+    needed = docs.select(*dict.fromkeys((*keep, "text")))
+    return needed.mapInArrow(count, docs.select(*keep).withColumns({k: F.lit(0).cast("long") for k in MEASURES}).schema)
 
 
 def votes(measured: DataFrame) -> DataFrame:
@@ -129,16 +128,31 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, share: floa
     return model
 
 
-def judge(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """doc_id, MEASURES, base_failed, the votes, posterior and kept for every row of docs."""
-    spark, names = docs.sparkSession, [f"rule_{k}" for k in RULES]
-    voted = written(votes(measures(docs)), "quality")
-    seen = voted.where("n_words > 0").groupBy(*names).count().collect()
+def learned(voted: DataFrame) -> LabelModel:
+    """The model of all rows' votes."""
+    names = [f"rule_{k}" for k in RULES]
+    seen = voted.where("n_words > 0").groupBy(*names).count().collect()  # a row per vote pattern
     table = np.array([tuple(r) for r in seen], np.int64).reshape(-1, len(names) + 1)
-    model = fit(table[:, :-1], table[:, -1].astype(float))
-    odds = np.log(model.chance[:, 1] / model.chance[:, 0])
+    return fit(table[:, :-1], table[:, -1].astype(float))
+
+
+def judged(voted: DataFrame, model: LabelModel, keep: float = 0.5) -> DataFrame:
+    """voted with base_failed, posterior and kept."""
     score = F.lit(float(np.log(model.share / (1 - model.share))))
-    for name, own in zip(names, odds.tolist()):
-        score = score + F.element_at(F.array(*map(F.lit, own)), F.col(name) + 2)
+    for name, own in zip(RULES, np.log(model.chance[:, 1] / model.chance[:, 0]).tolist()):
+        score = score + F.element_at(F.array(*map(F.lit, own)), F.col(f"rule_{name}") + 2)
     base = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words")
     return voted.withColumn("base_failed", base).withColumn("posterior", 1 / (1 + F.exp(-score))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
+
+
+def judge(docs: DataFrame, keep: float = 0.5) -> DataFrame:
+    """doc_id, MEASURES, the votes, base_failed, posterior and kept for every row of docs."""
+    voted = written(votes(measures(docs, "doc_id")), "quality")
+    return judged(voted, learned(voted), keep)
+
+
+def filtered(docs: DataFrame, keep: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept. Texts are measured again rather than shuffled to meet their verdicts."""
+    model = learned(written(votes(measures(docs, "doc_id")), "quality"))
+    rows = judged(votes(measures(bundled(docs), "doc_id", "text", "doc_row")), model, keep)
+    return unbundled(rows.where("kept"), docs.columns)

@@ -42,12 +42,17 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(read, "doc_id", "start", "n_tokens")
 
 
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces, places = packing.sequences(table(spark, sf_dir, "documents"), TOKENIZER)
+def packed(docs: DataFrame) -> DataFrame:
+    """The place and the digest of every piece, the pieces' ids read from the written table."""
+    pieces, places = packing.sequences(docs, TOKENIZER)
     digests = packing.checksums(pieces, "item", "doc_id", "piece", "start", "length")
     return digests.join(places, "item").drop("item")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

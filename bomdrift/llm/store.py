@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -32,3 +33,14 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, whatever their names."""
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *others).alias("doc_row"))
+
+
+def unbundled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the documents that were bundled."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("doc_row").getField(c).alias(c) for c in columns))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomdrift.llm.store import written
+from bomdrift.llm.store import bundled, unbundled, written
 from bomdrift.llm.words import Words, slices, words
 
 SIZE = 50
@@ -181,7 +181,7 @@ def _matching(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The columns of docs with the text that is left (words joined by one blank where any went), n_words, n_removed.
 
-    Columns of docs named n_words, n_removed or hit_... would clash: pass docs without them.
+    Other columns may have any names that do not start with hit_ and are not n_words or n_removed; see `cleaned`.
     """
     spans = repeated_spans(docs, size).groupBy("doc_id").agg(F.collect_list(F.struct("one", "copy", "spans")).alias("hit_texts"))
     hits = written(spans.withColumnRenamed("doc_id", "hit_doc"), "hits")
@@ -224,3 +224,8 @@ def digest(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([batch["doc_id"], batch["n_words"], batch["n_removed"], pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return rows.select("doc_id", "text", "n_words", "n_removed").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cleaned(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """docs with the text that is left, whatever its other columns are called."""
+    return unbundled(deduplicated(bundled(docs), size), docs.columns)
