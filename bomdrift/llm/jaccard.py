@@ -7,11 +7,12 @@ shingles have n - ceil(0.8 n) + 1 first shingles of which one must be shared, or
 
 Light sets (few shingles) enumerate every 2-subset of their first shingles as a key; heavy sets are looked up
 in the inverted lists of single first shingles, as are the light sets that can be similar to a heavy one.
-The boundary is the set size of least cost: rows of subsets against rows of lists and their mean length.
+The boundary is the set size of least cost: rows of subsets against rows of lists and comparisons there.
 
 Links are wanted as classes, so not every pair of a list is verified. First each set of a list is compared
 with the list's least and greatest node. Then every pair of a list that is not yet in one class is compared:
-no link between classes is lost, and large groups of copies stay linear.
+no link between classes is lost, and large groups of copies
+stay linear. Pairs that share too few keys for their sizes are not verified.
 
 Null doc_ids count as larger than any other. Null and empty texts have an empty set and are linked with
 nothing. Rows that repeat are alike. An empty table gives an empty result.
@@ -37,6 +38,8 @@ CELLS = 1 << 22
 #: A cell is reported by a task that saw it so often.
 OFTEN = 4
 NONE = 2**63 - 1
+#: Comparisons of a set in an inverted list: with its least and its greatest node.
+VISITS = 2
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +92,18 @@ def _first(n: np.ndarray) -> np.ndarray:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def boundary(sizes: dict[int, int], mean_list: float) -> int:
-    """The largest size of light sets, by least cost; sizes: sets by their size."""
+def boundary(sizes: dict[int, int]) -> int:
+    """The largest size of light sets, by least cost; sizes: sets by their size.
+
+    A light set costs the rows of its subsets; a heavy one a row for each first shingle and VISITS comparisons there.
+    """
     n = np.array(sorted(sizes), np.int64)
     if not len(n):
         return 0
     count = np.array([sizes[k] for k in n.tolist()], float)
     first = _first(n)
     light = np.concatenate(([0], np.cumsum(count * (first + 1) * first / 2)))
-    heavy = np.concatenate(([0], np.cumsum(count * first * (1 + mean_list))))
+    heavy = np.concatenate(([0], np.cumsum(count * first * (1 + VISITS))))
     cuts = np.concatenate(([0], n))
     low = np.searchsorted(n, cuts * PERCENT / 100, "right")
     cost = light + heavy[-1] - heavy[np.minimum(low, len(n))]
@@ -172,6 +178,23 @@ def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return written(texts.mapInArrow(run, "node long, `set` binary").dropDuplicates(["node"]), "sets")
 
 
+def _ordered(x: str, y: str, n_x: str, n_y: str) -> list:
+    """The lesser node as a, with its size, the other as b."""
+    first = F.col(x) < F.col(y)
+    of = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
+    return [of(x, y, "a"), of(y, x, "b"), of(n_x, n_y, "n_a"), of(n_y, n_x, "n_b")]
+
+
+def _alike(met: DataFrame, light: int) -> DataFrame:
+    """The pairs (a, b) that share as many keys as similar sets of their sizes must.
+
+    Of `need` shared shingles in sets of at most n, all but the last ceil(0.8 n) - 1 are among the first of both.
+    """
+    need = f"CEIL({PERCENT}D * (n_a + n_b) / {100 + PERCENT}) - CEIL({PERCENT}D * greatest(n_a, n_b) / 100) + 1"
+    counted = met.where(_size_fits("n_a", "n_b")).groupBy("a", "b").agg(F.countDistinct("key").alias("keys"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return counted.where(f"keys >= IF(greatest(n_a, n_b) <= {light}, 1, {need})").select("a", "b")
+
+
 def _size_fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
@@ -183,21 +206,19 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = seen.where("cell IS NULL").select("doc_id", "n", "node", F.col("check"))
     often = seen.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times"))
     level = np.zeros(CELLS, np.uint8)
-    squares = 0.0
     for cell, times in often.collect():  # CELLS rows at most
         level[cell] = int(times).bit_length()
-        squares += float(times) * times
     sizes = {r["n"]: r["count"] for r in rows.where("n > 0").groupBy("n").count().collect()}  # a row per set size
-    total = sum(n * c for n, c in sizes.items())
-    light = boundary(sizes, squares / max(total, 1))
+    light = boundary(sizes)
     reps = rows.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"))
 
     postings = _postings(docs, size, spark.sparkContext.broadcast(level.tobytes()), light)
     lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = written(postings.join(lists, "key").distinct(), "lists")
 
-    hubs = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node != hub")
-    pairs = written(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    ends = shared.select("key", "node", "n", F.explode(F.array("low", "high")).alias("hub")).where("node != hub")
+    hubs = shared.where("node = low OR node = high").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = written(_alike(ends.join(hubs, ["key", "hub"]).select("key", *_ordered("node", "hub", "n", "hub_n")), light), "pairs")
     listed = shared.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), "node")
     sets = _set_table(docs, listed, size)
     links = written(_verified(pairs, sets), "near")
@@ -212,7 +233,7 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")
     members = lambda x: own.select("key", F.col("class").alias(f"class_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     met = across.join(members("a"), ["key", "class_a"]).join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b"))
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _alike(met.select("key", *_ordered("a", "b", "n_a", "n_b")), light).join(pairs, ["a", "b"], "left_anti")
     added = written(_verified(written(more, "pairs"), sets), "near")
     label = components(links.union(added))
 
@@ -227,12 +248,11 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of docs whose doc_id is the least of their class; of rows that repeat a doc_id, one stays.
 
-    Rows without doc_id stay where no row of their class has one.
+    A row without doc_id can't be named: it stays, and no other row goes because of it.
     """
-    kept = written(classes(docs, size).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count()
-    if ids.where("count > 1").head(1):
-        named = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        rows = named.unionByName(rows.where("doc_id IS NULL"))
-    return rows
+    named = docs.where("doc_id IS NOT NULL")
+    kept = written(classes(named, size).where("doc_id = component_id").select("doc_id"), "kept")
+    rows = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if kept.groupBy("doc_id").count().where("count > 1").head(1):
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id IS NULL"))
