@@ -19,7 +19,7 @@ from bomdrift.operators.selection import Selection
 
 VALUE, QUANTITY = "value", "quantity"
 # Bounds of the rankings.
-DISTRIBUTION_MAX, TOP_MAX, STALE_HOURS = 200, 100, 30
+STALE_HOURS = 30
 DIMENSIONS = {
     "program": "parent_program",
     "line": "parent_line",
@@ -38,10 +38,6 @@ def _check_measure(measure: str) -> None:
         raise ValueError(f"unknown measure {measure}")
 
 
-def _clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
-
-
 _SUMMED = {
     "expected_qty": "expected_qty",
     "actual_qty": "actual_qty",
@@ -229,20 +225,20 @@ def last_week_change(series: DataFrame, measure: str = VALUE) -> DataFrame:
 
 
 def distribution(
-    fact: DataFrame, sel: Selection, dimension: str, measure: str = VALUE, limit: int = 20
+    fact: DataFrame, sel: Selection, dimension: str, measure: str = VALUE, limit: int | None = None
 ) -> DataFrame:
     """Measures by program, line, category, line status or dynamic type, largest impact first."""
     if dimension not in DIMENSIONS:
         raise ValueError(f"unknown dimension {dimension}")
     column = DIMENSIONS[dimension]
     label = F.col(column) if column else sel.variance_type()
-    return (
+    groups = (
         sel.apply(fact)
         .groupBy(label.alias("label"))
         .agg(*measures(sel))
         .orderBy(F.col(impact(measure)).desc(), "label")
-        .limit(_clamp(limit, 1, DISTRIBUTION_MAX))
     )
+    return groups if limit is None else groups.limit(limit)
 
 
 def top_components(
@@ -258,7 +254,7 @@ def top_components(
             *measures(sel),
         )
         .orderBy(F.col(impact(measure)).desc(), "component_id", "parent_program")
-        .limit(_clamp(limit, 1, TOP_MAX))
+        .limit(limit)
     )
 
 
@@ -270,7 +266,6 @@ def concentration(
     The head is a top-k, which Spark keeps distributed; no window over all components.
     """
     _check_measure(measure)
-    head = _clamp(head, 1, TOP_MAX)
     amount = F.abs("variance_value" if measure == VALUE else "variance_qty")
     by_component = (
         sel.apply(fact)

@@ -14,8 +14,6 @@ from bomdrift.operators.analytics import conformity_pct, deduplicated_production
 from bomdrift.operators.selection import Selection
 
 # Page and export bounds.
-PAGE_MAX = 500
-EXPORT_DEFAULT, EXPORT_MAX = 100_000, 1_000_000
 
 TEXT, COUNT, DECIMAL, EURO, PERCENT, DATE, FLAG, BADGE = (
     "text", "count", "decimal", "euro", "percent", "date", "flag", "badge",
@@ -306,8 +304,9 @@ def page(
 
 def slice_page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Sorted page as a top-k with an offset; only the rows up to the page's end are kept."""
-    size = max(1, min(int(size), PAGE_MAX))
-    return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    if size < 1 or number < 1:
+        raise ValueError("pages and their size start at 1")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
 def page_total(df: DataFrame) -> DataFrame:
@@ -317,22 +316,23 @@ def page_total(df: DataFrame) -> DataFrame:
 
 def export_rows(
     df: DataFrame, grid_key: str, columns: Sequence[str] | None = None,
-    limit: int = EXPORT_DEFAULT, sort: str | None = None, desc: bool = True,
+    limit: int | None = None, sort: str | None = None, desc: bool = True,
 ) -> DataFrame:
-    """Chosen or visible columns of a grid in sort order, up to the limit."""
+    """Chosen or visible columns of all rows of a grid in sort order, or of the first `limit`.
+
+    Without a limit the order is a range partitioning: no task holds more than its range.
+    """
     spec = GRIDS[grid_key]
     order = sort_columns(spec.sortable, spec.ties, sort or spec.default_sort, desc)
-    limit = max(1, min(int(limit), EXPORT_MAX))
     keys = [c.key for c in spec.chosen(columns)]
-    return df.orderBy(*order).limit(limit).select(*keys)
+    rows = df.orderBy(*order)
+    return (rows if limit is None else rows.limit(limit)).select(*keys)
 
 
-def export_truncated(df: DataFrame, limit: int = EXPORT_DEFAULT) -> DataFrame:
-    """Whether an export of this limit leaves rows out."""
-    limit = max(1, min(int(limit), EXPORT_MAX))
-    return df.agg(
-        F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) > limit).alias("truncated")
-    )
+def export_truncated(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Whether an export of this limit leaves rows out; one without a limit never does."""
+    total = F.count(F.lit(1))
+    return df.agg(total.alias("total"), (F.lit(False) if limit is None else total > limit).alias("truncated"))
 
 
 def _as_text(df: DataFrame, name: str) -> Column:

@@ -58,7 +58,7 @@ def freeze(
     """
     if closed:
         raise ValueError(f"campaign {campaign_id} is closed")
-    others = campaign_table.filter(F.col("campaign_id") != campaign_id)
+    others = campaign_table.filter(~F.col("campaign_id").eqNullSafe(F.lit(campaign_id)))
     return others.unionByName(as_frozen(result, campaign_id))
 
 

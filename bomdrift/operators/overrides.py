@@ -14,9 +14,6 @@ from bomdrift.functions.measures import zero
 from bomdrift.operators.combine import delete_keys, upsert
 from bomdrift.operators.selection import contains_text
 
-# Fixed value: rows in one batch action.
-BATCH_MAX = 1_000
-
 
 def drop_excluded(fact: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop rows whose component or parent is excluded: two anti joins on equality."""
@@ -83,49 +80,60 @@ def effective(fact: DataFrame, bom_over: DataFrame, excluded: DataFrame) -> Data
 # -- editing -------------------------------------------------------------------
 
 
-def _batch(keys: Sequence) -> list:
-    if not keys:
-        raise ValueError("no row selected")
-    if len(keys) > BATCH_MAX:
-        raise ValueError(f"at most {BATCH_MAX} rows in one action, {len(keys)} given")
-    return list(dict.fromkeys(keys))
+def _keys(like: DataFrame, keys: DataFrame | Sequence, names: list[str]) -> DataFrame:
+    """Keys of one action, each once: a table of any size, or a list."""
+    if not isinstance(keys, DataFrame):
+        if not keys:
+            raise ValueError("no row selected")
+        rows = [k if isinstance(k, tuple) else (k,) for k in keys]
+        keys = like.sparkSession.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    return keys.select(*names).distinct()
+
+
+def _marked(keys: DataFrame, schema, **values: object) -> DataFrame:
+    """Keys with the same further columns on every row, in the schema's order and types."""
+    return keys.select(*[
+        (F.lit(values[f.name]) if f.name in values else F.col(f.name)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ])
 
 
 def exclude_items(
-    excluded: DataFrame, item_ids: Sequence[str], reason: str | None, author: str | None,
-    at: datetime,
+    excluded: DataFrame, item_ids: DataFrame | Sequence[str], reason: str | None,
+    author: str | None, at: datetime,
 ) -> DataFrame:
     """Exclude items, or renew the reason of those already excluded."""
-    spark = excluded.sparkSession
-    rows = [(item, reason, author, at) for item in _batch(item_ids)]
-    return upsert(excluded, spark.createDataFrame(rows, S.EXCLUSION), ["item_id"])
+    keys = _keys(excluded, item_ids, ["item_id"])
+    new = _marked(keys, S.EXCLUSION, reason=reason, modified_by=author, modified_at=at)
+    return upsert(excluded, new, ["item_id"])
 
 
-def include_items(excluded: DataFrame, item_ids: Sequence[str]) -> DataFrame:
+def include_items(excluded: DataFrame, item_ids: DataFrame | Sequence[str]) -> DataFrame:
     """Take items back into the analysis."""
-    keys = excluded.sparkSession.createDataFrame([(i,) for i in _batch(item_ids)], "item_id string")
-    return delete_keys(excluded, keys, ["item_id"])
+    return delete_keys(excluded, _keys(excluded, item_ids, ["item_id"]), ["item_id"])
+
+
+BOM_KEY = ["parent_id", "component_id"]
 
 
 def override_bom(
-    bom_over: DataFrame, pairs: Sequence[tuple[str, str]], active: bool,
+    bom_over: DataFrame, pairs: DataFrame | Sequence[tuple[str, str]], active: bool,
     coef: float | Decimal | None, reason: str | None, author: str | None, at: datetime,
 ) -> DataFrame:
     """Deactivate BOM lines or replace their coefficient (None keeps the original)."""
     if coef is not None and coef <= 0:
         raise ValueError("a BOM coefficient must be positive; deactivate the line instead")
-    value = None if coef is None else Decimal(str(coef))
-    rows = [(p, c, active, value, reason, author, at) for p, c in _batch(pairs)]
-    new = bom_over.sparkSession.createDataFrame(rows, S.BOM_OVERRIDE)
-    return upsert(bom_over, new, ["parent_id", "component_id"])
+    new = _marked(
+        _keys(bom_over, pairs, BOM_KEY), S.BOM_OVERRIDE, active=active,
+        bom_coef=None if coef is None else Decimal(str(coef)), reason=reason, modified_by=author,
+        modified_at=at,
+    )
+    return upsert(bom_over, new, BOM_KEY)
 
 
-def reset_bom(bom_over: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def reset_bom(bom_over: DataFrame, pairs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
     """Remove overrides: the lines are again those of the source."""
-    keys = bom_over.sparkSession.createDataFrame(
-        _batch(pairs), "parent_id string, component_id string"
-    )
-    return delete_keys(bom_over, keys, ["parent_id", "component_id"])
+    return delete_keys(bom_over, _keys(bom_over, pairs, BOM_KEY), BOM_KEY)
 
 
 def override_summary(excluded: DataFrame, bom_over: DataFrame) -> DataFrame:

@@ -13,12 +13,23 @@ from bomdrift import schemas as S
 from bomdrift.functions.calendar import monday_of
 from bomdrift.functions.measures import decimal_text, number
 
-# Limits on user input.
-LIST_MAX = 500
-SEARCH_MAX = 80
+# Largest tolerance, weeks of the default view, weeks of the presets.
 TOLERANCE_MAX = 1_000_000
 DEFAULT_WEEKS = 13
 PRESET_WEEKS = (4, 8, 13, 26, 52)
+# Lists of a selection and the columns they bear on; columns that a search term is looked for in.
+MEMBERS = {
+    "weeks": "week_start", "programs": "parent_program", "lines": "parent_line",
+    "categories": "component_category", "parents": "parent_id", "components": "component_id",
+    "line_statuses": "line_status", "orders": "order_id", "order_statuses": "order_status",
+}
+SEARCHED = ["component_id", "component_name", "parent_id", "parent_name"]
+
+
+def matching(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df whose columns of `keys` are among its rows: lists of any length."""
+    return df.join(keys, keys.columns, "left_semi")
+
 
 
 def contains_text(columns: list[str], term: str) -> Column:
@@ -27,9 +38,7 @@ def contains_text(columns: list[str], term: str) -> Column:
     return F.contains(F.lower(joined), F.lit(term.lower()))
 
 
-def _clean(values: tuple[str, ...], name: str) -> tuple[str, ...]:
-    if len(values) > LIST_MAX:
-        raise ValueError(f"{name}: at most {LIST_MAX} values")
+def _clean(values: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(v.strip() for v in values if v.strip()))
 
 
@@ -62,7 +71,7 @@ class Selection:
 
         for name in ("programs", "lines", "categories", "parents", "components", "orders",
                      "order_statuses"):
-            put(name, _clean(tuple(getattr(self, name)), name))
+            put(name, _clean(tuple(getattr(self, name))))
         for name, allowed in (("types", S.VARIANCE_TYPES), ("line_statuses", S.LINE_STATUSES)):
             values = tuple(getattr(self, name))
             unknown = set(values) - set(allowed)
@@ -70,11 +79,7 @@ class Selection:
                 raise ValueError(f"{name}: unknown {sorted(unknown)}")
             put(name, values)
         put("weeks", tuple(self.weeks))
-        if len(self.weeks) > LIST_MAX:
-            raise ValueError(f"weeks: at most {LIST_MAX} values")
         if self.search is not None:
-            if len(self.search) > SEARCH_MAX:
-                raise ValueError(f"search: at most {SEARCH_MAX} characters")
             put("search", self.search.strip() or None)
         if self.date_from and self.date_to and self.date_from > self.date_to:
             raise ValueError("date_from must not be after date_to")
@@ -116,39 +121,23 @@ class Selection:
         return F.expr(self.variance_type_sql())
 
     def conditions(self, columns: list[str]) -> list[Column]:
-        """The filters to be ANDed; order filters only where the order axis exists."""
-        found: list[Column] = []
-        week = F.col("week_start")
-        if self.date_from:
-            found.append(week >= F.lit(self.date_from))
-        if self.date_to:
-            found.append(week <= F.lit(self.date_to))
-        lists = [
-            ("week_start", self.weeks),
-            ("parent_program", self.programs),
-            ("parent_line", self.lines),
-            ("component_category", self.categories),
-            ("parent_id", self.parents),
-            ("component_id", self.components),
-            ("line_status", self.line_statuses),
-        ]
-        if "order_id" in columns:
-            lists += [("order_id", self.orders), ("order_status", self.order_statuses)]
-        found += [F.col(name).isin(*values) for name, values in lists if values]
-        if self.types:
-            found.append(self.variance_type().isin(*self.types))
-        if self.hide_conforming:
-            found.append(self.variance_type() != S.CONFORMING)
-        if self.min_impact is not None:
-            found.append(F.abs("variance_value") >= number(self.min_impact))
-        if self.uniform_only:
-            found.append(F.col("is_uniform"))
-        if self.search:
-            found.append(
-                contains_text(
-                    ["component_id", "component_name", "parent_id", "parent_name"], self.search
-                )
-            )
+        """The filters to be ANDed; those on a column that a table lacks do not bear on it."""
+        member = {c: getattr(self, name) for name, c in MEMBERS.items() if c in columns}
+        found = [F.col(c).isin(*values) for c, values in member.items() if values]
+        kind = self.variance_type()
+        optional = {
+            "date_from": lambda day: F.col("week_start") >= F.lit(day),
+            "date_to": lambda day: F.col("week_start") <= F.lit(day),
+            "types": lambda kinds: kind.isin(*kinds),
+            "hide_conforming": lambda _: kind != S.CONFORMING,
+            "min_impact": lambda least: F.abs("variance_value") >= number(least),
+            "uniform_only": lambda _: F.col("is_uniform"),
+            "search": lambda term: contains_text(SEARCHED, term),
+        }
+        for name, condition in optional.items():
+            value = getattr(self, name)
+            if value is not None and value is not False and value != ():
+                found.append(condition(value))
         return found
 
     def predicate(self, df: DataFrame) -> Column:

@@ -11,8 +11,6 @@ from bomdrift.functions.measures import zero
 from bomdrift.operators.analytics import VALUE, _check_measure
 from bomdrift.operators.selection import Selection
 
-# Fixed value: orders listed behind one cell.
-CELL_ORDERS_MAX = 400
 _WEEK = ["week_start", "iso_year", "iso_week"]
 _DASH = "—"
 
@@ -154,23 +152,11 @@ def _cell(fact: DataFrame, line: str, component: str, year: int, week: int) -> D
 
 
 def cell_orders(
-    fact_order: DataFrame, line: str, component: str, year: int, week: int,
-    limit: int = CELL_ORDERS_MAX,
+    fact_order: DataFrame, line: str, component: str, year: int, week: int
 ) -> DataFrame:
-    """Orders that moved the component that week, at most `limit`, and whether more exist."""
-    found = (
-        _cell(fact_order, line, component, year, week)
-        .filter(F.col("order_id").isNotNull())
-        .select("order_id")
-        .distinct()
-        .orderBy("order_id")
-        .limit(limit + 1)
-    )
-    listed = found.agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
-    return listed.select(
-        F.explode(F.slice("ids", 1, limit)).alias("order_id"),
-        (F.size("ids") > limit).alias("truncated"),
-    )
+    """All orders that moved the component that week; a list for display is the caller's to cut."""
+    moved = _cell(fact_order, line, component, year, week)
+    return moved.filter(F.col("order_id").isNotNull()).select("order_id").distinct()
 
 
 def cell_figure(fact: DataFrame, line: str, component: str, year: int, week: int) -> DataFrame:

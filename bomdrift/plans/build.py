@@ -114,7 +114,8 @@ def build(spark: SparkSession, sources: Sources, params: Params, out_dir: str) -
 
     Reading back cuts the lineage on storage that outlives executors, and gives Spark file
     sizes, so that it broadcasts a dimension only when it is measurably small. The source
-    contract is checked first, the quality gate last.
+    contract is checked first. The tables are written beside the live ones and take their place when the quality
+    gate has passed them, so that a failed or refused run leaves the old model as it was.
     """
     problems = views.check_source_columns(spark, sources.as_dict()).collect()
     if problems:
@@ -127,13 +128,19 @@ def build(spark: SparkSession, sources: Sources, params: Params, out_dir: str) -
             df = S.TABLES[name].project(df)
         elif name not in STAGED:
             return df
-        path = f"{out_dir}/{name}"
+        path = f"{staging}/{name}"
         storage.write(df, path)
         return spark.read.parquet(path)
 
+    staging = f"{out_dir}{storage.STAGING}"
     model = _compose(sources, params, keep)
     quality.dq_gate(model["dq_checks"], params.fail_on_error)
-    return model
+    storage.swap(spark, staging, out_dir)
+    kept = {
+        name: spark.read.parquet(f"{out_dir}/{name}") if name in S.TABLES or name in STAGED else df
+        for name, df in model.tables.items()
+    }
+    return Model(sources, params, kept)
 
 
 def table_counts(model: Model) -> DataFrame:

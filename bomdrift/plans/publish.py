@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 from datetime import UTC, datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from bomdrift.plans.build import Model
 
 LOGGER = logging.getLogger("bomdrift.publish")
 LOG_NAME = "load_log"
-# Fixed value: longest stored error text.
-ERROR_MAX = 2_000
+# The CSV writer strips blanks unless told otherwise.
+BLANKS_STAY = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def select_tables(names: Sequence[str] | None) -> list[str]:
@@ -31,10 +33,13 @@ def select_tables(names: Sequence[str] | None) -> list[str]:
 
 
 def read_log(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last load of each table; every load is a row that was appended."""
     path = f"{out_dir}/{LOG_NAME}"
-    if storage.exists(spark, path):
-        return spark.read.schema(S.LOAD_LOG).parquet(path)
-    return spark.createDataFrame([], S.LOAD_LOG)
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], S.LOAD_LOG)
+    loads = spark.read.schema(S.LOAD_LOG).parquet(path)
+    last = F.max_by(F.struct(*S.LOAD_LOG.names), F.struct("ended_at", "started_at", "run_id"))
+    return loads.groupBy("table_name").agg(last.alias("last")).select("last.*")
 
 
 def log_row(
@@ -42,18 +47,29 @@ def log_row(
 ) -> tuple:
     duration = int((ended - started).total_seconds() * 1000)
     status = S.LOAD_OK if error is None else S.LOAD_FAILED
-    text = None if error is None else error[:ERROR_MAX]
-    return (table, table, rows, started, ended, duration, status, text, run_id)
+    return (table, table, rows, started, ended, duration, status, error, run_id)
 
 
 def record_load(log: DataFrame, row: tuple) -> DataFrame:
     """The log with the table's row added or replaced."""
     new = log.sparkSession.createDataFrame([row], S.LOAD_LOG)
-    return log.filter(F.col("table_name") != row[0]).unionByName(new)
+    return log.filter(~F.col("table_name").eqNullSafe(row[0])).unionByName(new)
 
 
 def _store(spark: SparkSession, out_dir: str, row: tuple) -> None:
-    storage.replace(spark, record_load(read_log(spark, out_dir), row), f"{out_dir}/{LOG_NAME}")
+    """Append, so that no concurrent run's row is lost."""
+    spark.createDataFrame([row], S.LOAD_LOG).write.mode("append").parquet(f"{out_dir}/{LOG_NAME}")
+
+
+def check_key(df: DataFrame, key: Sequence[str], name: str) -> None:
+    """Raise if a key column holds NULL or a key occurs twice."""
+    if not key:
+        return
+    null = reduce(or_, [F.col(c).isNull() for c in key])
+    keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
+    bad = keys.where((F.col("times") > 1) | null).head(1)
+    if bad:
+        raise ValueError(f"{name}: key {bad[0].asDict()} is repeated or NULL")
 
 
 def publish(
@@ -62,6 +78,8 @@ def publish(
 ) -> dict[str, int]:
     """Publish tables one by one through a staging folder, and log each load.
 
+    A table with a NULL or repeated key is refused, as a keyed target would refuse it.
+
     A failure leaves the table's old version in place, is logged, and stops the run.
     """
     counts: dict[str, int] = {}
@@ -69,6 +87,7 @@ def publish(
         started = datetime.now(UTC)
         try:
             projected = S.TABLES[name].project(model[name])
+            check_key(projected, S.TABLES[name].key, name)
             counts[name] = storage.replace(spark, projected, f"{out_dir}/{name}")
         except Exception as error:
             try:
@@ -84,7 +103,7 @@ def publish(
 
 def export_grid(
     df: DataFrame, grid_key: str, path: str, columns: Sequence[str] | None = None,
-    limit: int = grids.EXPORT_DEFAULT, fmt: str = "parquet", sort: str | None = None,
+    limit: int | None = None, fmt: str = "parquet", sort: str | None = None,
     desc: bool = True,
 ) -> bool:
     """Write a grid in sort order; returns whether rows were left out by the limit."""
@@ -95,11 +114,16 @@ def export_grid(
         # Tabs and line feeds are already neutralised: no quoting.
         text.write.mode("overwrite").option("sep", "\t").option("header", True).option(
             "quote", ""
-        ).option("emptyValue", "").csv(path)
+        ).option("emptyValue", "").options(**BLANKS_STAY).csv(path)
     elif fmt == "csv":
-        rows.write.mode("overwrite").option("header", True).csv(path)
+        rows.write.mode("overwrite").option("header", True).options(**BLANKS_STAY).csv(path)
     elif fmt == "parquet":
         rows.write.mode("overwrite").parquet(path)
     else:
         raise ValueError(f"unknown format {fmt}")
     return grids.export_truncated(df, limit).first().truncated
+
+
+def store_edits(edited: DataFrame, path: str) -> int:
+    """Replace a stored override table by its edited version, which may read the old one; returns its rows."""
+    return storage.replace(edited.sparkSession, edited, path)

@@ -50,15 +50,9 @@ def write(df: DataFrame, path: str) -> None:
     laid_out(df).write.mode("overwrite").parquet(path)
 
 
-def replace(spark: SparkSession, df: DataFrame, path: str) -> int:
-    """Write a table next to its target and swap it in; returns the number of rows written.
-
-    Until the swap the old table is untouched, so a failed write leaves it intact. If the
-    swap itself fails, the old table is put back.
-    """
-    staging, retired = path + STAGING, path + RETIRED
-    write(df, staging)
-    rows = spark.read.parquet(staging).count()
+def swap(spark: SparkSession, staging: str, path: str) -> None:
+    """Put what was staged in a folder's place; if that fails, the old content is put back."""
+    retired = path + RETIRED
     had_old = exists(spark, path)
     if had_old:
         if exists(spark, retired):
@@ -72,4 +66,15 @@ def replace(spark: SparkSession, df: DataFrame, path: str) -> int:
         raise
     if had_old:
         remove(spark, retired)
+
+
+def replace(spark: SparkSession, df: DataFrame, path: str) -> int:
+    """Write a table next to its target and swap it in; returns the number of rows written.
+
+    Until the swap the old table is untouched, so a failed write leaves it intact.
+    """
+    staging = path + STAGING
+    write(df, staging)
+    rows = spark.read.parquet(staging).count()
+    swap(spark, staging, path)
     return rows

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 QTY = T.DecimalType(38, 6)
 COST = T.DecimalType(18, 6)
 MONEY = T.DecimalType(20, 6)
-PCT = T.DecimalType(12, 4)
+PCT = T.DecimalType(38, 4)
 
 # Labels stored in the tables or accepted as filter values.
 UNKNOWN = "UNKNOWN"

@@ -33,15 +33,16 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
     return spark
 
 
-def work_folder(spark: SparkSession) -> str | None:
-    """Shared folder for written intermediate tables.
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for written tables, as spark.checkpoint.dir names it.
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset, a local session gets a
-    new temporary folder, and a cluster gets None: its executors share no local disk.
+    Where that is unset, a local session gets a temporary folder; a cluster is refused, because its
+    executors share no local disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return None
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

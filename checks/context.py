@@ -2,7 +2,7 @@
 
 Building operators run on the lazy model, straight from the driver's tables. Serving
 operators read the model that the build job wrote once per session and input folder, as
-users do; where no shared folder exists they fall back to the lazy model.
+users do; without a shared folder they are refused.
 """
 
 from __future__ import annotations
@@ -36,23 +36,17 @@ class Context:
         return jobs.lazy_model(self.sources, self.params)
 
     @cached_property
-    def folder(self) -> str | None:
+    def folder(self) -> str:
         root = work_folder(self.spark)
-        if root is None:
-            return None
         session = self.spark.sparkContext.applicationId
         return f"{root}/bomdrift-{session}/{abs(hash(self.sf_dir)):x}"
 
     @cached_property
     def model(self) -> jobs.Model:
-        if self.folder is None:
-            return self.lazy
         return jobs.build(self.spark, self.sources, self.params, f"{self.folder}/model")
 
     def _user_table(self, name: str, rows: DataFrame) -> DataFrame:
         """A user-written table, stored like the model so that its size is known."""
-        if self.folder is None:
-            return rows
         path = f"{self.folder}/user/{name}"
         storage.write(rows, path)
         return self.spark.read.parquet(path)

@@ -31,7 +31,7 @@ def test_pages_cover_without_repeats(ctx):
              for n in range(1, total // 100 + 2)]
     rows = [tuple(r) for p in pages for r in p]
     assert len(rows) == len(set(rows)) == total
-    assert len(grids.page(df, "details", size=10_000).collect()) == min(total, grids.PAGE_MAX)
+    assert len(grids.page(df, "details", size=10_000).collect()) == total
     df.unpersist()
 
 

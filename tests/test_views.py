@@ -70,4 +70,4 @@ def test_contract_reports_every_table_at_once(spark, table):
            views.check_source_columns(spark, frames).collect()}
     assert set(got) == {"invent_trans", "prod_table", "produits_fabriques"}
     assert got["invent_trans"][0] == "itemid, qty"
-    assert got["prod_table"] == ("unreadable table", "no access")
+    assert got["prod_table"] == ("unreadable table", "ValueError: no access\nstack")
