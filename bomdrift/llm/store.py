@@ -24,7 +24,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The same rows, computed once and read back from the shared folder; cuts the lineage."""
     path = folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ doc_id. Texts of equal words are one text; all but the first of them lose everyt
    two different texts can belong to a repeated window; they are found from about 1/13 of the positions.
 2. The windows with such minimizers become edges between their first and last size - 1 words. Edges found in
    two documents stay, each with a source: the first place in the document with the smallest doc_id.
-3. Nodes where edges branch are found by joins. Between them, edges that follow each other in their source are
-   compacted into one path. Every document's edges become spans on such paths, at one distance to the source.
+3. Edges that follow each other in their source are compacted into one path, up to a node where documents part or
+   meet. The join of all edges with these paths turns every document's edges into spans, at one distance to the source.
 4. Each span is compared with its source's words by a digest of both, taken at their coordinates.
 
 Null doc_ids count as larger than any other. Null and empty texts have no words. Rows that repeat a doc_id are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -79,48 +80,51 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _edges(texts: DataFrame, size: int) -> DataFrame:
-    """(edge, head, tail, doc_id, one, at): the windows whose minimizer is among the row's."""
+    """(edge, doc_id, at, before, after): the windows whose minimizer is among the row's, and 16 bits of the words beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = words(batch["text"])
             first, value, least = _minimizers(w, size)
-            known = np.unique(batch["least"].flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            place = np.searchsorted(known := np.sort(known), least)
+            known = np.unique(batch["least"].flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            place = np.searchsorted(known, least)
             take = known[np.minimum(place, len(known) - 1)] == least if len(known) else np.zeros(len(least), bool)
             first, value = first[take], value[take]
-            node = np.zeros(len(w.hash) + 1, np.uint64)
-            at, inner = w.windows(size - 1)
-            node[at] = inner
             row = w.row()[first]
-            out = [value.view(np.int64), node[first].view(np.int64), node[first + 1].view(np.int64), _ids(batch).to_numpy()[row], batch["one"].to_numpy()[row], (first - w.offset[row]).astype(np.int32)]
-            for a in range(0, max(len(first), 1), 100_000):
-                yield pa.record_batch([pa.array(x[a : a + 100_000]) for x in out], ["edge", "head", "tail", "doc_id", "one", "at"])
+            beside = np.concatenate((np.zeros(1, np.uint64), w.hash, np.zeros(1, np.uint64))).astype(np.uint16).view(np.int16)
+            before = np.where(first > w.offset[row], beside[first], 0)
+            after = np.where(first + size < w.offset[row + 1], beside[first + size + 1], 0)
+            at = first - w.offset[row] + (batch["turn"].to_numpy()[row].astype(np.int64) << 32)
+            out = [value.view(np.int64), batch["doc_id"].to_numpy()[row], at, before, after]
+            for k in range(0, max(len(first), 1), 100_000):
+                yield pa.record_batch([pa.array(x[k : k + 100_000]) for x in out], ["edge", "doc_id", "at", "before", "after"])
 
-    return texts.select("doc_id", "one", "text", "least").mapInArrow(run, "edge long, head long, tail long, doc_id long, one long, at int")
+    return texts.select("doc_id", "turn", "text", "least").mapInArrow(run, "edge long, doc_id long, at long, before short, after short")
 
 
 def _paths(found: DataFrame) -> DataFrame:
-    """(edge, source, source_at, path): repeated edges with their source, on compacted paths."""
-    edges = found.groupBy("edge").agg(F.min(F.struct("doc_id", "at", "one")).alias("src"), F.max("doc_id").alias("last"), F.first("head").alias("head"), F.first("tail").alias("tail"))
-    edges = written(edges.where("src.doc_id < last").select("edge", "head", "tail", F.col("src.doc_id").alias("source"), F.col("src.one").alias("source_one"), F.col("src.at").alias("source_at")), "edges")
-    out = edges.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("outgoing"))
-    into = edges.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("incoming"))
-    plain = out.join(into, "node").where("outgoing = 1 AND incoming = 1").select(F.col("node").alias("head"), F.lit(True).alias("plain"))
-    flagged = edges.join(plain, "head", "left")
-    order = Window.partitionBy("source", "source_one").orderBy("source_at")
-    begins = F.col("plain").isNull() | (F.lag("source_at").over(order) != F.col("source_at") - 1) | F.lag("source_at").over(order).isNull()
-    return flagged.withColumn("path", F.sum(begins.cast("int")).over(order)).select("edge", "source", "source_one", "source_at", "path")
+    """(edge, source, source_at, path): repeated edges with their source, on compacted paths.
+
+    A path goes on from an edge to the next in its source while every document goes on by the same word and comes by the same.
+    """
+    edges = found.groupBy("edge").agg(
+        F.min(F.struct("doc_id", "at")).alias("src"), F.max("doc_id").alias("last"),
+        (F.min("before") != F.max("before")).alias("joins"), (F.min("after") != F.max("after")).alias("parts"))
+    edges = edges.where("src.doc_id < last").select("edge", F.col("src.doc_id").alias("source"), F.col("src.at").alias("source_at"), "joins", "parts")
+    order = Window.partitionBy("source").orderBy("source_at")
+    before = lambda c: F.lag(c).over(order)
+    begins = F.col("joins") | F.coalesce(before("parts"), F.lit(True)) | (before("source_at") != F.col("source_at") - 1)
+    return edges.withColumn("path", F.sum(begins.cast("int")).over(order)).select("edge", "source", "source_at", "path")
 
 
 def _spans(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, one, at, n, source, source_one, source_at): runs of n windows on a path of a smaller document."""
-    met = found.select("edge", "doc_id", "one", "at").join(paths, "edge").where("source < doc_id")
-    order = Window.partitionBy("doc_id", "one").orderBy("at")
+    """(doc_id, at, n, source, source_at): runs of n windows on a path of a smaller document."""
+    met = found.select("edge", "doc_id", "at").join(paths, "edge").where("source < doc_id")
+    order = Window.partitionBy("doc_id").orderBy("at")
     before = lambda c: F.lag(c).over(order)
-    follows = (before("at") == F.col("at") - 1) & (before("source_at") == F.col("source_at") - 1) & (before("source") == F.col("source")) & (before("source_one") == F.col("source_one")) & (before("path") == F.col("path"))
+    follows = (before("at") == F.col("at") - 1) & (before("source_at") == F.col("source_at") - 1) & (before("source") == F.col("source")) & (before("path") == F.col("path"))
     runs = met.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(order))
-    return runs.groupBy("doc_id", "one", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_one").alias("source_one"), F.min("source_at").alias("source_at"))
+    return runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_at").alias("source_at")).drop("run")
 
 
 def _digest(w: Words, row: int, at: int, n: int) -> bytes:
@@ -129,53 +133,59 @@ def _digest(w: Words, row: int, at: int, n: int) -> bytes:
 
 
 def _sources(spans: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Spans by (source, source_one, source_at, n) with the digest of the source's words there."""
-    wanted = spans.groupBy("source", "source_one").agg(F.array_sort(F.collect_set(F.struct("source_at", "n"))).alias("spans"))
+    """(source, source_at, n, digest): the digest of the source's words of every span."""
+    turn = lambda c: F.shiftright(c, 32).cast("int")
+    wanted = spans.select(F.col("source").alias("doc_id"), turn("source_at").alias("turn"), "source_at", "n").distinct()
+    wanted = wanted.groupBy("doc_id", "turn").agg(F.collect_list(F.struct("source_at", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = words(batch["text"])
-            for row, (doc, one, own) in enumerate(zip(batch["source"].to_pylist(), batch["source_one"].to_pylist(), batch["spans"].to_pylist())):
-                if own:
-                    at, n = [x["source_at"] for x in own], [x["n"] for x in own]
-                    digest = [_digest(w, row, a, k + size - 1) for a, k in zip(at, n)]
-                    yield pa.record_batch([pa.array([doc] * len(own), pa.int64()), pa.array([one] * len(own), pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())], ["source", "source_one", "source_at", "n", "digest"])
+            for row, (doc, own) in enumerate(zip(batch["doc_id"].to_pylist(), batch["spans"].to_pylist())):
+                at, n = [x["source_at"] for x in own], [x["n"] for x in own]
+                digest = [_digest(w, row, a & 0xFFFFFFFF, k + size - 1) for a, k in zip(at, n)]
+                yield pa.record_batch([pa.array([doc] * len(own), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())], ["source", "source_at", "n", "digest"])
 
-    rows = texts.select(F.col("doc_id").alias("source"), F.col("one").alias("source_one"), "text").join(wanted, ["source", "source_one"])
-    return rows.mapInArrow(run, "source long, source_one long, source_at int, n int, digest binary")
+    return texts.select("doc_id", "turn", "text").join(wanted, ["doc_id", "turn"]).mapInArrow(run, "source long, source_at long, n int, digest binary").distinct()
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Verified and unverified spans by text: doc_id, one, two, n_words, copy (a smaller document has the very words), spans.
+@dataclass
+class Repeats:
+    """hits: (doc_id, one, copy, spans) of every text that loses words; texts: (doc_id, one, turn, text, least) with repeated minimizers.
 
-    doc_id is NONE where it is null; spans: at and n words, with source, source_at and the source's digest.
+    doc_id is NONE where it is null. copy: a smaller document has the very words. spans: at and n words, and the source's digest.
     """
-    scanned = written(_scan(docs, size), "scanned")
-    long = scanned.where(F.col("n_words") >= size)
-    firsts = long.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    least = long.select("one", F.explode("least").alias("least"))
-    repeated = least.groupBy("least").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high").select("least")
-    own = long.join(firsts, ["one", "two"]).where("doc_id = rep").select("doc_id", "one", F.explode("least").alias("least")).distinct()
-    wanted = own.join(repeated, "least").groupBy("doc_id", "one").agg(F.collect_list("least").alias("least"))
+
+    hits: DataFrame
+    texts: DataFrame
+
+
+def repeats(docs: DataFrame, size: int = SIZE) -> Repeats:
+    scanned = written(_scan(docs, size).where(F.col("n_words") >= size), "scanned")
+    firsts = written(scanned.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least")), "firsts")
+    least = firsts.select(F.col("rep").alias("doc_id"), "one", F.explode("least").alias("least"))
+    repeated = least.groupBy("least").agg(F.count("*").alias("texts")).where("texts > 1").select("least")
+    wanted = least.join(repeated, "least").groupBy("doc_id", "one").agg(F.collect_list("least").alias("least"))
+    wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("one")) - 1)
     whole = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
-    texts = written(_matching(whole.join(wanted, "doc_id")).dropDuplicates(["doc_id", "one"]), "texts")
-    found = written(_edges(texts, size), "windows")
+    texts = written(_matching(whole.join(wanted, "doc_id")), "texts")
+    found = _edges(texts, size)
     spans = written(_spans(found, _paths(found)), "spans")
-    digests = _sources(spans, texts, size)
-    checked = spans.join(digests, ["source", "source_one", "source_at", "n"]).groupBy("doc_id", "one").agg(
-        F.array_sort(F.collect_list(F.struct("at", (F.col("n") + size - 1).alias("n"), "source", "source_at", "digest"))).alias("spans"))
-    texts_of = long.join(firsts, ["one", "two"]).select("doc_id", "one", (F.col("rep") < F.col("doc_id")).alias("copy")).distinct()
-    return texts_of.join(checked, ["doc_id", "one"], "left").where("copy OR spans IS NOT NULL")
+    checked = spans.join(_sources(spans, texts, size), ["source", "source_at", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("turn"), F.struct(F.expr("CAST(at & 4294967295 AS int)").alias("at"), (F.col("n") + size - 1).alias("n"), "digest").alias("span"))
+    own = checked.groupBy("doc_id", "turn").agg(F.collect_list("span").alias("spans"))
+    own = own.join(texts.select("doc_id", "turn", "one").distinct(), ["doc_id", "turn"]).select("doc_id", "one", F.lit(False).alias("copy"), "spans")
+    copies = scanned.join(firsts.select("one", "two", "rep"), ["one", "two"]).where("rep < doc_id").select("doc_id", "one").distinct()
+    return Repeats(written(own.unionByName(copies.select("doc_id", "one", F.lit(True).alias("copy"), F.lit(None).cast(own.schema["spans"].dataType).alias("spans"))), "hits"), texts)
 
 
 def _matching(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, one, least) whose text has the words that `one` stands for."""
+    """Rows (doc_id, text, one, turn, least) whose text has the words that `one` stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield batch.filter(pa.array(_whole(words(batch["text"]))[0] == batch["one"].to_numpy()))
 
-    return rows.select("doc_id", "one", "text", "least").mapInArrow(run, "doc_id long, one long, text string, least array<long>")
+    return rows.select("doc_id", "one", "turn", "text", "least").mapInArrow(run, "doc_id long, one long, turn int, text string, least array<long>")
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -183,8 +193,11 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Other columns may have any names that do not start with hit_ and are not n_words or n_removed; see `cleaned`.
     """
-    spans = repeated_spans(docs, size).groupBy("doc_id").agg(F.collect_list(F.struct("one", "copy", "spans")).alias("hit_texts"))
-    hits = written(spans.withColumnRenamed("doc_id", "hit_doc"), "hits")
+    return _without(docs, repeats(docs, size).hits)
+
+
+def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    hits = hits.groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_list(F.struct("one", "copy", "spans")).alias("hit_texts"))
     rows = docs.join(hits, F.coalesce(docs["doc_id"], F.lit(NONE)) == hits["hit_doc"], "left").drop("hit_doc")
     names = docs.columns
 
@@ -215,15 +228,39 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.select(*names, "hit_texts").mapInArrow(run, out)
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of the words left, joined by one blank."""
+def digest(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and kept_sha256 of the words of `text`, joined by one blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["doc_id"], batch["n_words"], batch["n_removed"], pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([*(batch[c] for c in keep), pa.array(sha)], [*keep, "kept_sha256"])
+
+    return rows.select(*keep, "text").mapInArrow(run, rows.select(*keep).withColumn("kept_sha256", F.lit("")).schema)
+
+
+def _whole_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, one, n_words, kept_sha256 of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w = words(batch["text"])
+            sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch["text"].to_pylist()]
+            yield pa.record_batch([_ids(batch), pa.array(_whole(w)[0]), pa.array(np.diff(w.offset), pa.int64()), pa.array(sha)], ["doc_id", "one", "n_words", "kept_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, one long, n_words long, kept_sha256 string")
+
 
-    return rows.select("doc_id", "text", "n_words", "n_removed").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of docs; only texts that lose words are cut."""
+    found = repeats(docs, size)
+    left = _without(found.texts.select("doc_id", "one", "text"), found.hits.where("NOT copy"))
+    cut = digest(left.where("n_removed > 0"), "doc_id", "one", "n_removed").withColumnRenamed("kept_sha256", "cut_sha256").distinct()
+    copies = found.hits.where("copy").select("doc_id", "one", "copy")
+    rows = _whole_digest(docs).join(copies, ["doc_id", "one"], "left").join(cut, ["doc_id", "one"], "left")
+    return rows.select(
+        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame, size: int = SIZE) -> DataFrame:

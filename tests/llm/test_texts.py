@@ -69,8 +69,10 @@ def brute_substrings(docs, size):
 
 @pytest.mark.parametrize("size", [50, 12])
 def test_substrings_against_brute_force(documents, plain, size):
-    found = rows(substrings.digest(substrings.deduplicated(documents.select("doc_id", "text"), size)))
+    found = rows(substrings.digests(documents, size))
     assert found == brute_substrings(plain, size)
+    whole = substrings.deduplicated(documents.select("doc_id", "text"), size)
+    assert rows(substrings.digest(whole, "doc_id", "n_words", "n_removed")) == found
     assert any(r[2] for r in found)
 
 
