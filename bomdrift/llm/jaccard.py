@@ -10,7 +10,7 @@ in the inverted lists of single first shingles, as are the light sets that can b
 The boundary is the set size of least cost: rows of subsets against rows of lists and comparisons there.
 
 Links are wanted as classes, so not every pair of a list is verified. First each set of a list is compared
-with the list's least and greatest node. Then every pair of a list that is not yet in one class is compared:
+with the list's least node and with the one before it. Then every pair of a list that is not yet in one class is compared:
 no link between classes is lost, and large groups of copies
 stay linear. Pairs that share too few keys for their sizes are not verified.
 
@@ -35,10 +35,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Cells of the frequency sketch; one byte each is broadcast.
 CELLS = 1 << 22
-#: A cell is reported by a task that saw it so often.
+#: A task reports a cell that it saw so many times more often than cells of that size come by chance.
 OFTEN = 4
 NONE = 2**63 - 1
-#: Comparisons of a set in an inverted list: with its least and its greatest node.
+#: Comparisons of a set in an inverted list: with its least node and the one before it.
 VISITS = 2
 
 
@@ -80,7 +80,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             node, check = (mix(_sums(mix(value ^ np.uint64(salt)), at)).view(np.int64) for salt in (0, 0x5DEECE66D))
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.record_batch([_ids(batch), pa.array(np.diff(at), pa.int64()), pa.array(node), pa.array(check), none, none], names)
-        often = np.flatnonzero(seen >= OFTEN)
+        mean = seen.mean()
+        often = np.flatnonzero(seen >= OFTEN + mean + 6 * np.sqrt(mean))
         none = pa.nulls(len(often), pa.int64())
         yield pa.record_batch([none, none, none, none, pa.array(often, pa.int64()), pa.array(seen[often], pa.int64())], names)
 
@@ -114,21 +115,22 @@ def _postings(docs: DataFrame, size: int, level, light: int) -> DataFrame:
     """(key, node, n) of every document's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(level.value, np.uint8)
+        levels, seen = np.frombuffer(level.value, np.uint8), set()
         for batch in slices(batches):
             value, at = _sets(batch["text"], size)
             n = np.diff(at)
             node = mix(_sums(mix(value), at)).view(np.int64)
             rows = np.repeat(np.arange(len(n)), n)
+            new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)  # equal sets of a task once
             order = np.lexsort((value, levels[(value & np.uint64(CELLS - 1)).astype(np.int64)], rows))
             value = value[order]
             place = np.arange(len(value)) - at[:-1][rows]
             keys, of = [], []
             heavy = n * 100 > light * PERCENT
-            single = heavy[rows] & (place < _first(n)[rows])
+            single = (new & heavy)[rows] & (place < _first(n)[rows])
             keys.append(value[single])
             of.append(rows[single])
-            few = (n <= light) & (n > 1)
+            few = new & (n <= light) & (n > 1)
             most = int((_first(n)[few] + 1).max()) if few.any() else 0
             for j in range(1, most):  # the pairs (i, j), i < j, of all light rows at once
                 own = np.flatnonzero(few & (np.minimum(_first(n) + 1, n) > j))
@@ -144,8 +146,45 @@ def _postings(docs: DataFrame, size: int, level, light: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, n int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _lists(postings: DataFrame) -> DataFrame:
+    """(key, node, n, low, last) of every key of two nodes or more: each node once, with the least and the one before it.
+
+    Postings are sorted by key and node and read as a stream, so that a long list needs no memory.
+    """
+    names = ["key", "node", "n", "low", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)  # the last row, and its list's least node
+        low = 0
+        for batch in batches:
+            key, node, n = (np.concatenate((h, batch[c].to_numpy())) for h, c in zip(held, names))
+            had = len(held[0])
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, n = key[new], node[new], n[new]
+            begin = np.ones(len(key), bool)
+            begin[1:] = key[1:] != key[:-1]
+            start = np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
+            least = node[start]
+            if had:
+                least[start == 0] = low
+            later = np.flatnonzero(~begin)
+            # a list's least node itself is reported when its second node comes
+            second = later[(node[later - 1] == least[later])]
+            at = np.concatenate((second - 1, later))
+            last = np.concatenate((least[second], node[later - 1]))
+            yield pa.record_batch([pa.array(key[at]), pa.array(node[at]), pa.array(n[at]), pa.array(least[at]), pa.array(last)], names)
+            if len(key):
+                held, low = (key[-1:], node[-1:], n[-1:]), int(least[-1])
+
+    dealt = postings.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key long, node long, n int, low long, last long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; only the texts of their nodes become sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets_of(texts.join(nodes, "node"), size), "sets")
     own = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
     met = pairs.join(own("a"), "a").join(own("b"), "b")
 
@@ -163,8 +202,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the wanted (doc_id, node)."""
+def _sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the (node, text) whose text has the set that the node stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,25 +213,16 @@ def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             own = [raw[8 * a : 8 * b] for a, b in zip(at[:-1][right].tolist(), at[1:][right].tolist())]
             yield pa.record_batch([pa.array(node[right]), pa.array(own, pa.binary())], ["node", "set"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
-    return written(texts.mapInArrow(run, "node long, `set` binary").dropDuplicates(["node"]), "sets")
-
+    return texts.select("node", "text").mapInArrow(run, "node long, `set` binary")
 
-def _ordered(x: str, y: str, n_x: str, n_y: str) -> list:
-    """The lesser node as a, with its size, the other as b."""
-    first = F.col(x) < F.col(y)
-    of = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
-    return [of(x, y, "a"), of(y, x, "b"), of(n_x, n_y, "n_a"), of(n_y, n_x, "n_b")]
 
-
-def _alike(met: DataFrame, light: int) -> DataFrame:
-    """The pairs (a, b) that share as many keys as similar sets of their sizes must.
+def _alike(light: int) -> str:
+    """Whether pairs of n_a and n_b shingles share as many keys as similar sets of their sizes must.
 
     Of `need` shared shingles in sets of at most n, all but the last ceil(0.8 n) - 1 are among the first of both.
     """
     need = f"CEIL({PERCENT}D * (n_a + n_b) / {100 + PERCENT}) - CEIL({PERCENT}D * greatest(n_a, n_b) / 100) + 1"
-    counted = met.where(_size_fits("n_a", "n_b")).groupBy("a", "b").agg(F.countDistinct("key").alias("keys"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return counted.where(f"keys >= IF(greatest(n_a, n_b) <= {light}, 1, {need})").select("a", "b")
+    return f"{_size_fits('n_a', 'n_b')} AND keys >= IF(greatest(n_a, n_b) <= {light}, 1, {need})"
 
 
 def _size_fits(a: str, b: str) -> str:
@@ -206,22 +236,24 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = seen.where("cell IS NULL").select("doc_id", "n", "node", F.col("check"))
     often = seen.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times"))
     level = np.zeros(CELLS, np.uint8)
-    for cell, times in often.collect():  # CELLS rows at most
-        level[cell] = int(times).bit_length()
+    cells = often.select(F.col("cell").cast("int"), F.ceil(F.log2("times")).cast("int").alias("level")).toArrow()  # CELLS rows of 8 bytes at most
+    level[cells["cell"].to_numpy()] = cells["level"].to_numpy()
     sizes = {r["n"]: r["count"] for r in rows.where("n > 0").groupBy("n").count().collect()}  # a row per set size
     light = boundary(sizes)
     reps = rows.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"))
 
     postings = _postings(docs, size, spark.sparkContext.broadcast(level.tobytes()), light)
-    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(postings.join(lists, "key").distinct(), "lists")
-
-    ends = shared.select("key", "node", "n", F.explode(F.array("low", "high")).alias("hub")).where("node != hub")
-    hubs = shared.where("node = low OR node = high").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = written(_alike(ends.join(hubs, ["key", "hub"]).select("key", *_ordered("node", "hub", "n", "hub_n")), light), "pairs")
+    shared = written(_lists(postings), "lists")
+    hubs = shared.select("node", F.explode(F.array_distinct(F.array("low", "last"))).alias("hub")).where("node != hub")
+    many = hubs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count("*").alias("keys"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    for x in "ab":
+        many = many.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
+    pairs = written(many.where(_alike(light)).select("a", "b"), "pairs")
     listed = shared.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), "node")
-    sets = _set_table(docs, listed, size)
-    links = written(_verified(pairs, sets), "near")
+    whole = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
+    texts = written(whole.join(listed, "doc_id").select("node", "text"), "texts")
+    links = written(_verified(pairs, texts, size), "near")
     label = components(links)
 
     # pairs of a list that are in different classes yet
@@ -233,16 +265,21 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")
     members = lambda x: own.select("key", F.col("class").alias(f"class_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     met = across.join(members("a"), ["key", "class_a"]).join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b"))
-    more = _alike(met.select("key", *_ordered("a", "b", "n_a", "n_b")), light).join(pairs, ["a", "b"], "left_anti")
-    added = written(_verified(written(more, "pairs"), sets), "near")
+    least, most = (F.col("a") < F.col("b")), (F.col("a") > F.col("b"))
+    size_of = lambda first, x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    many = met.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(
+        F.count("*").alias("keys"), F.max(size_of(least, "n_a", "n_b")).alias("n_p"), F.max(size_of(most, "n_a", "n_b")).alias("n_q"))
+    many = many.select(F.col("p").alias("a"), F.col("q").alias("b"), "keys", F.col("n_p").alias("n_a"), F.col("n_q").alias("n_b"))
+    more = many.where(_alike(light)).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    added = written(_verified(written(more, "pairs"), texts, size), "near")
     label = components(links.union(added))
 
     reps = reps.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = reps.join(reps.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("node", "check", "component_id")
     full = rows.where("n > 0").join(named, ["node", "check"])
     result = full.select("doc_id", "n", "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    whole = lambda c: F.nullif(F.col(c), F.lit(NONE)).alias(c)
-    return result.select(whole("doc_id"), F.col("n").alias("n_shingles"), whole("component_id"))
+    known = lambda c: F.nullif(F.col(c), F.lit(NONE)).alias(c)
+    return result.select(known("doc_id"), F.col("n").alias("n_shingles"), known("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
