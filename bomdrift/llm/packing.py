@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomdrift.llm.store import written
-from bomdrift.llm.tokens import encoded
+from bomdrift.llm.tokens import Encoder, encoded
 
 CAPACITY = 2048
 #: Items that a partition packs; about 100 bytes each.
@@ -120,6 +120,7 @@ def checksums(rows: DataFrame, *keep: str) -> DataFrame:
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for batch in batches:
             ids = batch["ids"]
             values, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), ids.offsets.to_pylist()

@@ -23,6 +23,9 @@ from bomdrift.llm.words import _BASE, _BYTE, FOLD, _rolling, process_cache, slic
 #: Distinct pieces that a Python worker remembers; then it starts anew.
 REMEMBERED = 600_000
 
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
+
 _LETTERS, _DIGIT, _OTHER, _UNSAFE = 1, 2, 3, 4
 _CLASS = np.full(256, _UNSAFE, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _LETTERS
@@ -39,35 +42,65 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         # a piece is never split further, so only the blanks between pieces count
-        self.piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.whole.get_vocab()
+        alone = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ways = {"whole": self.tokenizer.pre_tokenizer, "piece": alone}
+        vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.forget()
 
+    @property
+    def wide(self) -> bool:
+        """Whether an id may need more than 16 bits."""
+        return len(self.last) > 1 << 16
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The one of this Python process."""
+        cache = process_cache("encoders")
+        if path not in cache:
+            cache[path] = cls(path)
+        return cache[path]
+
+    @staticmethod
+    def release() -> None:
+        """Free what a reused Python process remembers, before work that needs no tokenizer."""
+        process_cache("encoders").clear()
+
+    def _encoded(self, way: str, texts: list[str]) -> list[list[int]]:
+        self.tokenizer.pre_tokenizer = self.ways[way]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # pieces by hash, sorted
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def learn(self, keys: list[int], pieces: list[bytes], safe: np.ndarray) -> None:
+    def learn(self, keys: np.ndarray, pieces: list[bytes], safe: np.ndarray) -> None:
         """Encode pieces that are new."""
         texts = [p.decode() for p in pieces]
-        order = [*np.flatnonzero(safe).tolist(), *np.flatnonzero(~safe).tolist()]
+        order = np.concatenate((np.flatnonzero(safe), np.flatnonzero(~safe)))
         n = int(safe.sum())
-        joined = [" ".join(texts[k] for k in order[i : min(i + 1000, n)]) for i in range(0, n, 1000)]
-        ids = [i for e in self.piece.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids]
-        ids = np.array(ids, np.int32)
+        first = [texts[k] for k in order[:n].tolist()]
+        ids = np.array([i for x in self._encoded("piece", [" ".join(first[i : i + 1000]) for i in range(0, n, 1000)]) for i in x], np.int32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != n:
             raise ValueError("the tokenizer does not end its pieces as expected")
-        others = [e.ids for e in self.whole.encode_batch_fast([texts[k] for k in order[n:]], add_special_tokens=False)]
-        more = np.array([i for x in others for i in x], np.int32)
-        had = int(self.begin[-1])
-        self.known.update(zip([keys[k] for k in order], range(len(self.begin) - 1, len(self.begin) - 1 + len(order))))
+        others = self._encoded("whole", [texts[k] for k in order[n:].tolist()])
+        had, made = int(self.begin[-1]), len(self.begin) - 1
+        known = np.concatenate((self.known, keys[order]))
+        place = np.concatenate((self.place, np.arange(made, made + len(order))))
+        sort = np.argsort(known, kind="stable")
+        self.known, self.place = known[sort], place[sort]
         self.begin = np.concatenate([self.begin, had + ends, had + len(ids) + np.cumsum([len(x) for x in others], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, ids, more])
+        self.ids = np.concatenate([self.ids, ids, np.array([i for x in others for i in x], np.int32)])
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return self.known[at] == keys, self.place[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each text's ids."""
@@ -98,13 +131,14 @@ class Encoder:
         distinct, one, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        have, place = self._find(distinct)
+        new = np.flatnonzero(~have)
+        if len(new):
             raw, at = folded.tobytes(), one[new]
             of = np.searchsorted(w.start, start[at], "right") - 1
-            self.learn([keys[i] for i in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], ~bad[of])
-        place = np.array([self.known[k] for k in keys], np.int64)[back] if keys else np.zeros(0, np.int64)
+            self.learn(distinct[new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], ~bad[of])
+            place = self._find(distinct)[1]
+        place = place[back]
         begin = self.begin
         length = begin[place + 1] - begin[place]
         after = np.concatenate(([0], np.cumsum(length)))
@@ -118,9 +152,8 @@ def encoded(docs: DataFrame, path: str, end: int, *keep: str | Column) -> DataFr
     names = kept.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache("encoders")
-        encoder = cache[path] = cache.get(path) or Encoder(path)
-        for batch in slices(batches):
+        encoder = Encoder.of(path)
+        for batch in slices(batches, limit=SLICE):
             ids, at = encoder.encode(batch["text"])
             # one more id after each text
             to = at + np.arange(len(at))

@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomdrift.llm.store import filesystem, folder, written
-from bomdrift.llm.tokens import encoded
+from bomdrift.llm.tokens import SLICE, Encoder
+from bomdrift.llm.words import slices
 
 MAGIC = b"WVM1"
 SHARD = 1 << 22
 BLOCK = 1 << 18
-#: Rows that one range of doc_ids has, about; ranges are sorted in a task.
-RANGE = 5_000
+#: Rows that one range of doc_ids has, about, and how many ranges there are at most; a range is sorted in a task.
+RANGE, RANGES = 5_000, 10_000
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -53,7 +54,7 @@ def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
         ones = [int(np.count_nonzero(b)) for b in blocks]
         parts += [_squeeze(np.packbits(b).tobytes()) for b in blocks]
         planes.append({"zeros": len(x) - sum(ones), "ones": np.cumsum([0, *ones]).tolist(), "bytes": [len(p) for p in parts[len(parts) - len(blocks) :]]})
-        x = np.concatenate((x[~plane], x[plane]))
+        x = np.concatenate((x.compress(~plane), x.compress(plane)))  # several times as fast as indexing
     docs = [_squeeze(json.dumps(doc_ids).encode()), _squeeze(ends.astype("<i8").tobytes())]
     head = json.dumps({"n": len(ids), "bits": bits, "block": BLOCK, "docs": [len(d) for d in docs], "planes": planes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *docs, *parts])
@@ -138,8 +139,8 @@ class Shard:
         for level in range(self.bits - 1, -1, -1):
             plane = np.concatenate([self._bits_of(level, b) for b in range(len(self.head["planes"][level]["bytes"]))] or [np.zeros(0, np.uint8)]).astype(bool)
             zeros, before = self.head["planes"][level]["zeros"], np.empty_like(x)
-            before[~plane] = x[:zeros]
-            before[plane] = x[zeros:] | x.dtype.type(1 << (self.bits - 1 - level))
+            np.place(before, ~plane, x[:zeros])
+            np.place(before, plane, x[zeros:] | x.dtype.type(1 << (self.bits - 1 - level)))
             x = before
         return x
 
@@ -147,18 +148,23 @@ class Shard:
 def write(docs: DataFrame, path: str, end: int, shard: int = SHARD, ranges: int | None = None) -> DataFrame:
     """Write all documents; the manifest: part, turn (shards in order), file, docs, tokens."""
     to = folder(docs.sparkSession, "wavelet")
-    n = ranges or max(1, -(-docs.count() // RANGE))
+    n = ranges or min(max(1, -(-docs.count() // RANGE)), RANGES)
     cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    tokens = encoded(docs, path, end, "doc_id")
     bounds = np.array(cuts, np.int64)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = np.searchsorted(bounds, b["doc_id"].fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
-            yield pa.record_batch([pa.array(own, pa.int32()), b["doc_id"], b["ids"]], ["part", "doc_id", "ids"])
+        encoder = Encoder.of(path)
+        for b in slices(batches, limit=SLICE):
+            ids, at = encoder.encode(b["text"])
+            raw, last = ids.astype("<u4").tobytes() if encoder.wide else ids.astype("<u2").tobytes(), struct.pack("<I" if encoder.wide else "<H", end)
+            width = len(last)
+            own = np.searchsorted(bounds, b["doc_id"].cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
+            rows = [raw[width * i : width * j] + last for i, j in zip(at.tolist(), at[1:].tolist())]
+            yield pa.record_batch([pa.array(own, pa.int32()), b["doc_id"].cast(pa.int64()), pa.array(np.full(b.num_rows, width), pa.int32()), pa.array(rows, pa.binary())], ["part", "doc_id", "width", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         fs, root = filesystem(to)
         fs.create_dir(root, recursive=True)
         attempt, now, turn, held, ids, ends, size = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}", None, 0, [], [], [], 0
@@ -170,8 +176,7 @@ def write(docs: DataFrame, path: str, end: int, shard: int = SHARD, ranges: int
             return pa.record_batch([pa.array([now], pa.int32()), pa.array([turn], pa.int32()), [f"{to}/{name.rpartition('/')[2]}"], pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["part", "turn", "file", "docs", "tokens"])
 
         for b in batches:
-            values, at = b["ids"].values.to_numpy(zero_copy_only=False), b["ids"].offsets.to_numpy()
-            for k, (p, doc) in enumerate(zip(b["part"].to_pylist(), b["doc_id"].to_pylist())):
+            for p, doc, width, raw in zip(b["part"].to_pylist(), b["doc_id"].to_pylist(), b["width"].to_pylist(), b["ids"]):
                 if held and (p != now or size >= shard):
                     yield flush()
                     turn = turn + 1 if p == now else 0
@@ -179,14 +184,14 @@ def write(docs: DataFrame, path: str, end: int, shard: int = SHARD, ranges: int
                 elif p != now:
                     turn = 0
                 now = p
-                ids.append(values[at[k] : at[k + 1]].astype(np.int32))
-                size += int(at[k + 1] - at[k])
+                ids.append(np.frombuffer(raw.as_buffer(), f"<u{width}"))
+                size += len(ids[-1])
                 held.append(doc)
                 ends.append(size)
         if held:
             yield flush()
 
-    rows = tokens.mapInArrow(dealt, "part int, doc_id long, ids array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(dealt, "part int, doc_id long, width int, ids binary")
     rows = rows.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
     return written(rows.mapInArrow(save, "part int, turn int, file string, docs long, tokens long"), "manifest")
 
@@ -199,6 +204,7 @@ def read(manifest: DataFrame) -> DataFrame:
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for b in batches:
             for uri, base in zip(b["file"].to_pylist(), b["base"].to_pylist()):
                 fs, name = filesystem(uri)
