@@ -65,8 +65,9 @@ def _sample(docs: DataFrame, size: int) -> DataFrame:
     """(lang, vector): about `size` documents of each language, as bytes of float32."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
-    many = labelled.groupBy("lang").count().select(F.col("lang").alias("of"), (F.lit(float(size)) / F.col("count")).alias("part"))
-    some = labelled.join(many, F.col("lang") == F.col("of")).where(share < F.col("part")).select("lang", "text")
+    many = labelled.groupBy("lang").count().collect()  # a row per language
+    parts = F.create_map(*(F.lit(x) for r in many for x in (r["lang"], size / r["count"]))) if many else F.lit(None).cast("map<string,double>")
+    some = labelled.where(share < F.element_at(parts, F.col("lang"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rows(batches):
