@@ -94,21 +94,39 @@ def _without(w: Words, hit: np.ndarray, text: str) -> str:
 def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, `keep`, n_words, n_hit, items (sorted), cleaned (the text without hit words) for every row of docs.
 
-    Cleaning repeats until no window occurs: cutting a span can bring words together.
+    Cleaning repeats until no window occurs: cutting a span can bring words together. Every round cuts at once what the
+    windows of all blocks hit in the same text; with several blocks, only the texts that were cut are scanned again.
     """
     spark = docs.sparkSession
     grams = written(item_windows(benchmark, size), "benchmark")
     blocks = max(1, -(-grams.count() // block))
-    frame = docs.select("doc_id", *keep, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("items"), F.col("text").alias("cleaned"))
-    for k in range(blocks):
-        rows = grams.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).select("n", "window", "item").collect()
-        frame = _scan(frame, spark.sparkContext.broadcast([(n, bytes(window), item) for n, window, item in rows]))
-        if k < blocks - 1:
-            frame = written(frame, "scanned")
-    return frame.select("doc_id", *keep, "n_words", F.size("at").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "cleaned")
 
-
-def _scan(frame: DataFrame, rows) -> DataFrame:
+    def scanned(rows: DataFrame, *own: str) -> DataFrame:
+        """own, text, n_words, at (the hit words), items, cleaned."""
+        frame = rows.select(*own, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("items"), F.col("text").alias("cleaned"))
+        for k in range(blocks):
+            part = grams.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).select("n", "window", "item").collect()
+            sent = spark.sparkContext.broadcast([(n, bytes(window), item) for n, window, item in part])
+            frame = _scan(frame, sent, k == blocks - 1, blocks == 1)
+            if blocks > 1:
+                frame = written(frame, "scanned")
+                sent.unpersist()
+        return frame
+
+    names = ["doc_id", *keep, "n_words", "n_hit", "items"]
+    found = scanned(docs, "doc_id", *keep).select("doc_id", *keep, "n_words", F.size("at").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "cleaned")
+    if blocks == 1:
+        return found
+    done, cut = found.where("n_hit = 0"), found.where("n_hit > 0")
+    while not cut.isEmpty():
+        again = scanned(cut.select(F.struct(*names).alias("found"), F.col("cleaned").alias("text")), "found")
+        rest = lambda hit: again.where((F.size("at") > 0) == hit).select("found.*", "cleaned")
+        done, cut = done.union(rest(False)), rest(True)
+    return done
+
+
+def _scan(frame: DataFrame, rows, last: bool, alone: bool) -> DataFrame:
+    """Add what one block hits in `text`; the last block cuts what all have hit, and if it is alone, as long as it hits."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(rows.value)
@@ -120,13 +138,16 @@ def _scan(frame: DataFrame, rows) -> DataFrame:
                 lo, hi = int(w.offset[row]), int(w.offset[row + 1])
                 at[row] = sorted({*at[row], *np.flatnonzero(hit[lo:hi]).tolist()})
                 items[row] = sorted({*items[row], *own})
-            for row in [r for r in range(batch.num_rows) if cleaned[r] and (r in found or at[r])]:
-                while True:
+            for row in [r for r in range(batch.num_rows) if last and at[r]]:
+                own = words(pa.array([cleaned[row]]), ALNUM, fold=True)
+                cut = np.zeros(len(own.hash), bool)
+                cut[at[row]] = True
+                while cut.any():
+                    cleaned[row] = _without(own, cut, cleaned[row])
+                    if not alone:
+                        break
                     own = words(pa.array([cleaned[row]]), ALNUM, fold=True)
                     cut, _ = index.hits(own)
-                    if not cut.any():
-                        break
-                    cleaned[row] = _without(own, cut, cleaned[row])
             new = {"n_words": pa.array(np.diff(w.offset), pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "cleaned": pa.array(cleaned, pa.string())}
             yield pa.record_batch([new[n] if n in new else batch[n] for n in batch.schema.names], batch.schema.names)
 

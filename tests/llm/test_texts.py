@@ -170,6 +170,19 @@ def test_decontamination_against_brute_force(documents, plain, benchmark_items,
     assert all(clean[str(i)] == t for i, t in plain if i in (2, 5, 7))
 
 
+def test_decontamination_cuts_the_same_in_any_blocks(spark, documents, benchmark_items):
+    """Windows of one block that overlap those of another, and windows that only a cut brings together."""
+    w = [f"v{i}" for i in range(40)]
+    texts = ["x y " + " ".join(w[:30]) + " z", " ".join(w[:5] + w[10:40] + w[5:10]), " ".join(w[30:35] + w[:20] + w[35:40]), "A, " + ". ".join(w[:12]) + "! B"]
+    docs = spark.createDataFrame([(100 + i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
+    items = spark.createDataFrame([(20, " ".join(w[:30])), (21, " ".join(w[30:40])), (22, " ".join(w[:10]))], "item_id long, text string")
+    both = docs.union(documents.select("doc_id", "text", "kept")), items.union(benchmark_items[1])
+    one, many = (rows(decontaminate.scan(*both, "kept", block=block)) for block in (500_000, 7))
+    assert many == one
+    clean = {r[0]: r[-1] for r in one}
+    assert clean[100] == "x y  z" and not set(clean[102].split()) & set(w)
+
+
 def brute_classes(docs, size=5):
     sets = []
     for _, t in docs:
