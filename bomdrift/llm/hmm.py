@@ -1,9 +1,12 @@
 """A hidden Markov language model: Baum-Welch counts summed over partitions, exact likelihood by scaled forward recursion.
 
-Tokens are words in lower case (A-Z), then one end. The most frequent SYMBOLS words of the training documents
-have emissions of their own in each of STATES states; any other word is emitted as one of 64 shapes (length,
-bytes above ASCII, other than letters), and within its shape with the probability
-(c + 0.5) / (N + 0.5 (V + 1)), c its count, N and V the shape's tokens and words beyond the SYMBOLS.
+Tokens are words in lower case (A-Z), then one end. Every training word has emissions of its own in each of STATES
+states. Those of the most frequent SYMBOLS words are broadcast. Any other word is emitted as one of 64 shapes (length,
+bytes above ASCII, other than letters), and within its shape in state s with the probability
+(g / p + 0.5) / (N + 0.5 (V + 1)): g its expected count in s, p the part of the shape's expected counts that s has,
+N and V the shape's tokens and words beyond the SYMBOLS. A word of no training document has g = 0; before the first
+round g / p is the word's count. These expected counts are summed by Spark into a table of a row per word, whatever
+their number; a task streams it and keeps the words of the texts that it holds, HELD tokens at once.
 Words of known count are looked up in the LISTED most frequent ones, which are broadcast; the rest of every
 document joins the table of all counts.
 
@@ -22,10 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomdrift.llm.store import written
+from bomdrift.llm.store import filesystem, folder, written
 from bomdrift.llm.words import BLANKS, Words, mix, slices, words
 
 STATES = 4
@@ -33,6 +38,8 @@ SYMBOLS = 1 << 15
 LISTED = 1 << 18
 SHAPES = 64
 CHUNK = 64
+#: Tokens of the texts that a task holds while it looks up their words' emissions, about.
+HELD = 1 << 24
 ROUNDS = 5
 #: The end's key among the words' hashes.
 END = np.uint64(0x656E64)
@@ -93,7 +100,8 @@ class Lexicon:
 
     word: np.ndarray
     times: np.ndarray
-    symbol: np.ndarray  # -1: emitted by shape
+    symbol: np.ndarray  # -1: emitted within its shape
+    shape: np.ndarray
     total: int
     types: int
     shape_total: np.ndarray
@@ -133,11 +141,14 @@ def lexicon(table: DataFrame) -> Lexicon:
     np.subtract.at(total, shape[:symbols], times[:symbols])
     np.subtract.at(types, shape[:symbols], 1)
     order = np.argsort(word)
-    return Lexicon(word[order], times[order], symbol[order], n, v, total[:SHAPES], types[:SHAPES], symbols)
+    return Lexicon(word[order], times[order], symbol[order], shape[order], n, v, total[:SHAPES], types[:SHAPES], symbols)
 
 
 def sequences(docs: DataFrame, lexicon_, *keep: str) -> DataFrame:
-    """Per row: symbols (array<int>), sums over its listed words, and the words that are not listed."""
+    """Per row: symbols (array<int>), sums over its listed words, and the words that are not listed.
+
+    A symbol is that of the word, or sizes() + i of the i-th listed word, or -1 - i of the row's i-th other word.
+    """
     kept = docs.select(*keep, "text")
     names = [*kept.columns[:-1], "symbols", "base", "inner", "n_known", "others", "other_shapes", "other_times"]
 
@@ -151,7 +162,7 @@ def sequences(docs: DataFrame, lexicon_, *keep: str) -> DataFrame:
             listed = lex.word[at] == w.hash if len(lex.word) else np.zeros(len(row), bool)
             symbol = np.where(listed, lex.symbol[at], -1) if len(lex.word) else np.full(len(row), -1)
             by_shape = symbol < 0
-            symbol = np.where(by_shape, lex.symbols + shape, symbol)
+            symbol = np.where(by_shape, lex.sizes() + at, symbol)
             times = np.where(listed, lex.times[at], 0) if len(lex.word) else np.zeros(len(row))
             end_times = int(lex.times[end[0]]) if len(end) else 0
             base = np.bincount(row[listed], lex.base(times[listed]), rows) + lex.base(np.array([end_times]))
@@ -159,14 +170,15 @@ def sequences(docs: DataFrame, lexicon_, *keep: str) -> DataFrame:
             inner = np.bincount(row[within], lex.inner(times[within], shape[within]), rows)
             known = np.bincount(row[listed], minlength=rows) + (end_times > 0)
             to = w.offset + np.arange(rows + 1)
-            out = np.full(len(symbol) + rows, lex.symbol[end[0]] if len(end) else lex.symbols, np.int32)
-            out[np.arange(len(symbol)) + row] = symbol
             rest = ~listed
             key = w.keyed(row[rest], w.hash[rest])
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(row[rest][first], kind="stable")
             first, n = first[order], n[order]
             ends = np.searchsorted(row[rest][first], np.arange(rows + 1))
+            symbol[rest] = ends[row[rest]] - np.argsort(order)[back] - 1
+            out = np.full(len(symbol) + rows, lex.symbol[end[0]] if len(end) else lex.symbols, np.int32)
+            out[np.arange(len(symbol)) + row] = symbol
             lists = lambda x, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x))
             yield pa.record_batch([
                 *(batch[n_] for n_ in names[:-7]), lists(out, to), pa.array(base.astype(float)), pa.array(inner.astype(float)), pa.array(known.astype(np.int64)),
@@ -179,7 +191,7 @@ def sequences(docs: DataFrame, lexicon_, *keep: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """start: of the state before the first token; move: between states; emit: (symbol, state)."""
+    """start: of the state before the first token; move: between states; emit: (symbol, state), with a row per shape last."""
 
     start: np.ndarray
     move: np.ndarray
@@ -293,60 +305,132 @@ def expected(c: Chunks, m: Model, into: Model) -> None:
             continue
         ids, gamma = c.ids[:a, t], alpha[t + 1, :a] * beta[:a]
         gamma /= gamma.sum(1, keepdims=True)
-        for s in range(k):
-            into.emit[:, s] += np.bincount(ids, gamma[:, s], len(into.emit))
+        alpha[t + 1, :a] = gamma
         ahead = m.emit[ids] * beta[:a]
         before = ahead @ m.move.T
         total = (alpha[t, :a] * before).sum(1, keepdims=True)
         into.move += m.move * (alpha[t, :a].T @ (ahead / total))
         beta[:a] = before / before.sum(1, keepdims=True)
+    ids = np.concatenate([c.ids[:a, t] for t, a in enumerate(c.active)])
+    gamma = np.concatenate([alpha[t + 1, :a] for t, a in enumerate(c.active)])
+    for s in range(k):
+        np.add.at(into.emit[:, s], ids, gamma[:, s])
 
 
-def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch over all rows' symbols; every round's counts are summed over partitions."""
+@dataclass
+class Own:
+    """The emissions of the words beyond the symbols. path: the table of the last round's sums, if any; share: (shape, state)."""
+
+    path: str | None
+    share: np.ndarray
+
+    def ratio(self, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """(word, state): by what the emission of each of the sorted words differs from its count's share of its shape."""
+        out = np.ones((len(word), self.share.shape[1]))
+        if not self.path or not len(word):
+            return out
+        store, root = filesystem(self.path)
+        for info in store.get_file_info(fs.FileSelector(root)):
+            if not info.base_name.endswith(".parquet"):
+                continue
+            with store.open_input_file(info.path) as raw:
+                for batch in pq.ParquetFile(raw).iter_batches(1 << 17):
+                    key = batch["id"].to_numpy().view(np.uint64)
+                    at = np.minimum(np.searchsorted(word, key), len(word) - 1)
+                    met = np.flatnonzero((word[at] == key) & batch["own"].to_numpy(zero_copy_only=False))
+                    at, g = at[met], np.stack([batch[f"s{s}"].to_numpy()[met] for s in range(out.shape[1])], 1).astype(float)
+                    share = self.share[shape[at]]
+                    out[at] = np.where(share > 0, (g / np.where(share > 0, share, 1) + 0.5) / (g.sum(1, keepdims=True) + 0.5), 1)
+        return out
+
+
+def _held(batches: Iterator[pa.RecordBatch], lex: Lexicon, m: Model, own: Own) -> Iterator[tuple]:
+    """(model, words, shapes, batches): batches of about HELD tokens, each with its symbols in that model, whose last rows are the words'."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += len(batch["symbols"].flatten())
+        if size >= HELD:
+            yield _with_words(group, lex, m, own)
+            group, size = [], 0
+    if group:
+        yield _with_words(group, lex, m, own)
+
+
+def _with_words(group: list[pa.RecordBatch], lex: Lexicon, m: Model, own: Own) -> tuple:
+    first = lex.sizes()
+    flat = lambda batch, name: batch[name].flatten().to_numpy(zero_copy_only=False)
+    used = np.zeros(len(lex.word), bool)
+    for batch in group:
+        x = flat(batch, "symbols")
+        used[x[x >= first] - first] = True
+    other = [flat(batch, "others").view(np.uint64) for batch in group]
+    word, at = np.unique(np.concatenate((lex.word[used], *other)), return_index=True)
+    shape = np.concatenate((lex.shape[used], *(flat(batch, "other_shapes") for batch in group)))[at].astype(np.int64)
+    listed = np.zeros(len(lex.word), np.int64)
+    listed[used] = np.searchsorted(word, lex.word[used])
+    out = []
+    for batch, hashes in zip(group, other):
+        x = flat(batch, "symbols").astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch["symbols"].offsets.to_numpy()))
+        known, rest = np.flatnonzero(x >= first), np.flatnonzero(x < 0)
+        x[known] = first + listed[x[known] - first]
+        start = batch["others"].offsets.to_numpy().astype(np.int64)
+        x[rest] = first + np.searchsorted(word, hashes)[start[row[rest]] - start[0] - x[rest] - 1]
+        at = batch["symbols"].offsets.to_numpy()
+        out.append((batch, x, at - at[0]))
+    emit = np.concatenate((m.emit, m.emit[lex.symbols + shape] * own.ratio(word, shape)))
+    return Model(m.start, m.move, emit), word, shape, out
+
+
+def train(rows: DataFrame, lex: Lexicon, lexicon_, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, Own]:
+    """Baum-Welch over all rows' symbols; every round's counts are summed over partitions, of words in a table."""
     spark, model = rows.sparkSession, first_model(lex, states)
-    sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]
+    own = Own(None, np.full((SHAPES, states), 1 / states))
+    sums = [F.sum(f"s{i}").cast("float").alias(f"s{i}") for i in range(states)]
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(vars(model))
+        sent = spark.sparkContext.broadcast((vars(model), vars(own)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m = Model(**sent.value)
-            into = Model(np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit))
-            for values, at in _lists(batches):
-                expected(chunked(values, at), m, into)
-            kept = np.flatnonzero(into.emit.any(1))
-            ids = np.concatenate((np.arange(-1 - states, 0), kept))
-            rows_ = np.concatenate((into.start[None], into.move, into.emit[kept]))
-            yield pa.record_batch([pa.array(ids), *(pa.array(np.ascontiguousarray(rows_[:, s])) for s in range(states))], ["id", *(f"s{s}" for s in range(states))])
-
-        schema = ", ".join(["id long", *(f"s{s} double" for s in range(states))])
-        found = rows.select("symbols").mapInArrow(run, schema).groupBy("id").agg(*sums).collect()  # SYMBOLS + SHAPES rows at most
+            lex, m, own = Lexicon(**lexicon_.value), Model(**sent.value[0]), Own(**sent.value[1])
+            first = lex.sizes()
+            for full, word, shape, held in _held(batches, lex, m, own):
+                into = Model(np.zeros(states), np.zeros((states, states)), np.zeros_like(full.emit))
+                for _, values, at in held:
+                    for part, offsets, _ in _parts(values, at, 1 << 18):
+                        expected(chunked(part, offsets), full, into)
+                for s in range(states):  # a shape has the sums of its words
+                    into.emit[lex.symbols : first, s] += np.bincount(shape, into.emit[first:, s], SHAPES)
+                kept = np.flatnonzero(into.emit[:first].any(1))
+                table = np.concatenate((into.start[None], into.move, into.emit[kept], into.emit[first:]))
+                ids = np.concatenate((np.arange(-1 - states, 0), kept, word.view(np.int64)))
+                is_word = np.arange(len(ids)) >= len(ids) - len(word)
+                for a in range(0, len(ids), 100_000):
+                    part = slice(a, a + 100_000)
+                    yield pa.record_batch([pa.array(is_word[part]), pa.array(ids[part]), *(pa.array(table[part, s].astype(np.float32)) for s in range(states))], ["own", "id", *(f"s{s}" for s in range(states))])
+
+        schema = ", ".join(["own boolean, id long", *(f"s{s} float" for s in range(states))])
+        path = folder(spark, "emissions")
+        rows.select("symbols", "others", "other_shapes").mapInArrow(run, schema).groupBy("own", "id").agg(*sums).write.option("compression", "zstd").parquet(path)
+        found = spark.read.schema(schema).parquet(path).where("NOT own").toArrow()  # SYMBOLS + SHAPES rows, and some for the moves
         start, move, emit = np.full(states, 0.1), np.full((states, states), 0.1), np.zeros_like(model.emit)
-        for r in found:
-            own, i = np.array(r[1:]), r[0]
-            if i >= 0:
-                emit[i] = own
-            elif i == -1 - states:
-                start += own
-            else:
-                move[i + states] += own
+        ids, table = found["id"].to_numpy(), np.stack([found[f"s{s}"].to_numpy() for s in range(states)], 1).astype(float)
+        emit[ids[ids >= 0]] = table[ids >= 0]
+        start += table[ids == -1 - states].sum(0)
+        moved = (ids < 0) & (ids > -1 - states)
+        move[ids[moved] + states] += table[moved]
+        whole = emit[lex.symbols :].sum(1, keepdims=True)
+        own = Own(path, emit[lex.symbols :] / np.where(whole > 0, whole, 1))
         emit += 0.5 * emit.sum(1, keepdims=True) / max(emit.sum(), 1) * states + 1e-3  # a little of the words' frequencies
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
         sent.unpersist()
-    return model
-
-
-def _lists(batches: Iterator[pa.RecordBatch], column: str = "symbols", limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat values and offsets of rows of at most about `limit` tokens."""
-    for batch in batches:
-        for values, at, _ in _parts(batch, column, limit):
-            yield values, at
+    return model, own
 
 
-def _parts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
-    at, values = batch[column].offsets.to_numpy(), batch[column].values.to_numpy(zero_copy_only=False)
+def _parts(values: np.ndarray, at: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Flat values and offsets of rows of at most about `limit` tokens, and which rows."""
     first = 0
-    while first < batch.num_rows:
+    while first < len(at) - 1:
         after = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield values[at[first] : at[after]], at[first : after + 1] - at[first], slice(first, after)
         first = after
@@ -360,18 +444,19 @@ def scored(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> DataFrame:
     lex = lexicon(table)
     sent = spark.sparkContext.broadcast(vars(lex))
     cut = written(sequences(rows, sent, "doc_id", "held_out").withColumn("row", F.monotonically_increasing_id()), "symbols")
-    model = spark.sparkContext.broadcast(vars(train(cut.where("NOT held_out"), lex, rounds)))
+    trained = train(cut.where("NOT held_out"), lex, sent, rounds)
+    model = spark.sparkContext.broadcast(tuple(map(vars, trained)))
     keep = ["row", "doc_id", "held_out", "base", "inner", "n_known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**model.value)
-        for batch in batches:
-            for values, at, part in _parts(batch, "symbols", 1 << 18):
-                own = batch.slice(part.start, part.stop - part.start)
-                log = likelihood(chunked(values, at), m) / np.log(10)
-                yield pa.record_batch([*(own[n] for n in keep), pa.array(np.diff(at), pa.int64()), pa.array(log)], [*keep, "n_tokens", "log"])
-
-    likely = cut.select(*keep, "symbols").mapInArrow(run, cut.select(*keep).withColumns({"n_tokens": F.lit(0).cast("long"), "log": F.lit(0.0)}).schema)
+        for full, _, _, held_ in _held(batches, Lexicon(**sent.value), Model(**model.value[0]), Own(**model.value[1])):
+            for batch, symbols, offsets in held_:
+                for values, at, part in _parts(symbols, offsets, 1 << 18):
+                    own = batch.slice(part.start, part.stop - part.start)
+                    log = likelihood(chunked(values, at), full) / np.log(10)
+                    yield pa.record_batch([*(own[n] for n in keep), pa.array(np.diff(at), pa.int64()), pa.array(log)], [*keep, "n_tokens", "log"])
+
+    likely = cut.select(*keep, "symbols", "others", "other_shapes").mapInArrow(run, cut.select(*keep).withColumns({"n_tokens": F.lit(0).cast("long"), "log": F.lit(0.0)}).schema)
     others = cut.select("row", F.explode(F.arrays_zip("others", "other_shapes", "other_times")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.other_shapes").alias("in"), F.col("o.other_times").alias("n"))
     shaped = F.array(*(F.lit(float(t + 0.5 * (v + 1))) for t, v in zip(lex.shape_total.tolist(), lex.shape_types.tolist())))
     c = F.coalesce("times", F.lit(0))

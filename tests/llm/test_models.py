@@ -206,6 +206,20 @@ def test_scores_base_and_probabilities(documents, plain, monkeypatch):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in found)
 
 
+def test_words_beyond_the_symbols_have_emissions_of_their_own(spark, monkeypatch):
+    """Two topics in words of one shape: states tell them apart only if training gathers counts of each word."""
+    r = np.random.default_rng(6)
+    topic = lambda k, n: " ".join(f"{'ab'[k]}{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in r.integers(0, 200, n))
+    docs = spark.createDataFrame([(i, topic(i % 2, 300)) for i in range(120)], "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") >= 100
+    full = hmm.scored(docs, held, rounds=12).where("held_out").agg(F.sum("score")).first()[0]
+    for name, value in {"SYMBOLS": 1, "LISTED": 50, "HELD": 2000}.items():
+        monkeypatch.setattr(hmm, name, value, raising=False)
+    base, score, tokens = hmm.scored(docs, held, rounds=12).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert score > base + 0.2 * tokens  # two topics of equal size: log10(2) = 0.3 a word
+    assert abs(score - full) < 0.05 * tokens
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, score = hmm.scored(docs, hmm.remainder() == 1).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
