@@ -4,7 +4,7 @@ A text is the relative frequencies of its hashed byte n-grams (1 to 3 bytes, ASC
 square-rooted, so that every text has length 1. Families are learned: languages whose mean vectors are more alike
 than languages are on average are merged, the most alike first. For every two families, and for every two
 languages of a family, a machine is trained in a task of its own on a bounded sample: SAMPLE labelled documents
-of each language, chosen by a hash of the id. All machines predict by votes, then by the sum of their margins.
+of each language, chosen by a hash of the id and the text. All machines predict by votes, then by the sum of their margins.
 
 Prediction reads the text only, whole. Null texts and texts without a letter are `und` with score 0, as is every
 text if nothing was learned. Rows with null text or language are not learned from. Repeated rows are judged alike.
@@ -64,7 +64,7 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def _sample(docs: DataFrame, size: int) -> DataFrame:
     """(lang, vector): about `size` documents of each language, as bytes of float32."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
+    share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"), "text") / F.lit(2.0**64) + 0.5
     many = labelled.groupBy("lang").count().collect()  # a row per language
     parts = F.create_map(*(F.lit(x) for r in many for x in (r["lang"], size / r["count"]))) if many else F.lit(None).cast("map<string,double>")
     some = labelled.where(share < F.element_at(parts, F.col("lang"))).select("lang", "text")

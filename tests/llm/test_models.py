@@ -248,6 +248,12 @@ def test_language_cases(spark, documents):
     assert language.identified(documents.where("false"), F.lit(False)).count() == 0
 
 
+def test_sample_of_rows_without_id_or_of_one_id(spark):
+    docs = spark.range(2000).selectExpr("CAST(IF(id % 2 = 0, NULL, 7) AS long) AS doc_id", "IF(id % 2 = 0, 'aa', 'bb') AS lang", "concat('text ', id) AS text")
+    found = {r["lang"]: r["count"] for r in language._sample(docs, 100).groupBy("lang").count().collect()}
+    assert set(found) == {"aa", "bb"} and all(60 < n < 140 for n in found.values())
+
+
 def test_families_join_languages_that_are_alike():
     e = np.eye(6)
     centre = {"a": e[0] + 0.2 * e[1], "b": e[0] + 0.2 * e[2], "c": e[3] + 0.2 * e[4], "d": e[3] + 0.2 * e[5]}
