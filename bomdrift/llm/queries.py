@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, hmm, jaccard, language, licenses, packing, quality, substrings, warc, wavelet
+from bomdrift.llm import decontaminate, divergence, hmm, jaccard, language, licenses, packing, quality, substrings, warc, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -78,7 +78,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"), F.coalesce(hmm.remainder() == 0, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id, op11_source_divergence)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -158,4 +162,27 @@ FROM documents d LEFT JOIN {left} USING (doc_id)
 """
 
 
-ORACLE = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+lv AS (SELECT lang, count(*) AS v, sum(n) AS total FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY ALL),
+gt AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(gt.total, 0) + 5 * lv.v) AS p,
+             1 + (1000000000::HUGEINT * (v.n + 5)) // (lv.total + 5 * lv.v) AS q
+      FROM g JOIN v USING (lang) JOIN lv USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+      LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+ORACLE = {"op11_source_divergence": _OP11, "op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}

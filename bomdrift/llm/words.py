@@ -26,6 +26,13 @@ ALNUM = np.ones(256, bool)
 ALNUM[:128] = False
 ALNUM[0x30:0x3A] = True
 ALNUM[0x61:0x7B] = True
+#: Words are runs of ASCII letters and of every code point above ASCII: [^\x00-\x40\x5B-\x60\x7B-\x7F]+ once folded
+ALPHA = ALNUM.copy()
+ALPHA[0x30:0x3A] = False
+#: Words are runs of [A-Za-z\u00C0-\u00FF] once folded: 0xC3 is the first byte of just these code points beyond ASCII.
+LATIN = ALPHA.copy()
+LATIN[128:] = False
+LATIN[0xC3] = True
 #: Lower case of A-Z only.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
@@ -112,6 +119,8 @@ def words(texts: pa.Array, kind: np.ndarray = BLANKS, fold: bool = False) -> Wor
     if fold:
         data = FOLD[data]
     inside = kind[data]
+    if kind is LATIN:
+        inside[1:] |= data[:-1] == 0xC3
     edge = np.zeros(len(data) + 1, bool)  # a word can't run on from one row into the next
     edge[at] = True
     start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
@@ -119,6 +128,44 @@ def words(texts: pa.Array, kind: np.ndarray = BLANKS, fold: bool = False) -> Wor
     return Words(data, start, end, _rolling(_BYTE[data], start, end, _BASE), np.searchsorted(start, at), at)
 
 
+def strings(w: Words, chosen: np.ndarray) -> pa.Array:
+    """The chosen words as an Arrow string column."""
+    length = w.end[chosen] - w.start[chosen]
+    to = np.concatenate(([0], np.cumsum(length)))
+    data = w.data[np.repeat(w.start[chosen] - to[:-1], length) + np.arange(to[-1])]
+    return pa.Array.from_buffers(pa.string(), len(chosen), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
+
+
+class Tally:
+    """Sums of counts by key columns, gathered over many slices in bounded memory; Spark adds what tasks emit."""
+
+    def __init__(self, keys: list[str], counts: list[str], limit: int = 400_000) -> None:
+        self.keys, self.counts, self.limit = keys, counts, limit
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+
+    def _merged(self) -> pa.Table:
+        whole = pa.concat_tables(self.parts).combine_chunks()
+        summed = whole.group_by(self.keys, use_threads=False).aggregate([(c, "sum") for c in self.counts])
+        return summed.select([*self.keys, *(f"{c}_sum" for c in self.counts)]).rename_columns([*self.keys, *self.counts])
+
+    def add(self, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        """Takes in more counts; what no longer fits is put out."""
+        self.parts.append(pa.table(columns))
+        self.rows += self.parts[-1].num_rows
+        if self.rows > self.limit:
+            self.parts = [self._merged()]
+            self.rows = self.parts[0].num_rows
+            if self.rows > self.limit // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """Puts out all that is left."""
+        if self.parts:
+            yield from self._merged().to_batches(max_chunksize=50_000)
+        self.parts, self.rows = [], 0
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size (one row at least)."""
     for batch in batches:
