@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, divergence, hmm, jaccard, language, licenses, packing, quality, substrings, warc, wavelet
+from bomdrift.llm import decontaminate, divergence, hmm, jaccard, language, licenses, packing, quality, spelling, substrings, warc, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,7 +82,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id, op11_source_divergence)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id, op11_source_divergence, op12_spelling_variants)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -185,4 +189,28 @@ FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
 
-ORACLE = {"op11_source_divergence": _OP11, "op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
+# The crc32 is stepped by the table over the bytes of `<doc_id>:<run>`; near words share a word with one code point less.
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+') AS ws FROM documents),
+r AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(ws) AS w FROM d) GROUP BY ALL),
+crc AS (SELECT list_value({", ".join(map(str, spelling.CRC_TABLE.tolist()))})::BIGINT[] AS t),
+b AS (SELECT r.*, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes FROM r),
+s(id, w, n, bytes, pos, state) AS (
+  SELECT id, w, n, bytes, 0, 4294967295 FROM b
+  UNION ALL SELECT id, w, n, bytes, pos + 1, xor(t[(xor(state, bytes[pos + 1]) & 255) + 1], state >> 8) FROM s, crc WHERE pos < len(bytes)),
+h AS (SELECT w, n, xor(state, 4294967295) AS h FROM s WHERE pos = len(bytes)),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM x),
+m AS (SELECT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.less UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.less),
+c AS (SELECT word, count(*) AS n_near, max(n) AS best FROM m GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 5 * v.n THEN best END AS form_n,
+             CASE WHEN best >= 5 * v.n THEN (SELECT min(other) FROM m WHERE m.word = v.word AND m.n = best) END AS form FROM v LEFT JOIN c USING (word)),
+p(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT p.word, f.word, f.form FROM p JOIN f ON f.word = p.form)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word AND p.form IS NULL
+"""
+
+
+ORACLE = {"op12_spelling_variants": _OP12, "op11_source_divergence": _OP11, "op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
