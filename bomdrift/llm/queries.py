@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomdrift.llm import decontaminate, divergence, hmm, jaccard, language, licenses, packing, quality, spelling, substrings, warc, wavelet
+from bomdrift.llm import decontaminate, divergence, hmm, jaccard, language, licenses, packing, quality, spelling, substrings, warc, wavelet, winnowing
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -86,7 +86,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id, op11_source_divergence, op12_spelling_variants)}
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_quality_rules, op4_token_output, op5_best_fit_packing, op6_decontamination, op7_license_scan, op8_ngram_jaccard_join, op9_hidden_markov, op10_language_id, op11_source_divergence, op12_spelling_variants, op13_document_fingerprints)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6 = f"""
@@ -213,4 +217,31 @@ SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word =
 """
 
 
-ORACLE = {"op12_spelling_variants": _OP12, "op11_source_divergence": _OP11, "op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
+def _op13() -> str:
+    """Hashes of grams as an unrolled polynomial, the least of each window by position, sets by lists."""
+    m, b, k, w = winnowing.MODULUS, winnowing.BASE, winnowing.GRAM, winnowing.WINDOW
+    hash_ = "hs[i]"
+    for j in range(1, k):
+        hash_ = f"(({hash_}) * {b} + hs[i + {j}]) % {m}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER o AS after, first_value(coalesce(text, '')) OVER o AS head
+           FROM documents WINDOW o AS (ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce(after, head) AS next_text, length(text) AS n,
+             left(text, length(text) - length(text) // 4) || left(coalesce(after, head), length(text) // 4) AS edited FROM d),
+t AS (SELECT k, 0 AS side, text FROM e UNION ALL SELECT k, 1, edited FROM e UNION ALL SELECT k, 2, next_text FROM e),
+h AS (SELECT k, side, list_transform(regexp_extract_all(text, '{winnowing.TOKEN}'), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {m}) AS hs FROM t),
+g AS (SELECT k, side, CASE WHEN len(hs) = 0 THEN [] WHEN len(hs) < {k} THEN [list_reduce(hs, lambda a, x: (a * {b} + x) % {m})]
+      ELSE list_transform(range(1, len(hs) - {k - 2}), lambda i: {hash_}) END AS gs FROM h),
+p AS (SELECT k, side, list_transform(gs, lambda x, i: x * 2147483648 + 2147483648 - i) AS ps FROM g),
+f AS (SELECT k, side, list_sort(list_distinct(CASE WHEN len(ps) = 0 THEN [] WHEN len(ps) < {w} THEN [list_min(ps)]
+      ELSE list_transform(range(1, len(ps) - {w - 2}), lambda i: list_min(ps[i:i + {w - 1}])) END)) AS ks FROM p),
+q AS (SELECT k, side, list_distinct(list_transform(ks, lambda x: x >> 31)) AS s,
+             array_to_string(list_transform(list_sort(list_transform(ks, lambda x: [2147483647 - (x & 2147483647), x >> 31])), lambda x: x[1] || ':' || printf('%08x', x[2])), ' ') AS f FROM f),
+j AS (SELECT a.k, b.side, CASE WHEN len(a.s) = 0 AND len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END AS near
+      FROM q a JOIN q b USING (k) WHERE a.side = 0)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, x.near AS near_edited, y.near AS near_next
+FROM e JOIN q a ON a.k = e.k AND a.side = 0 JOIN q b ON b.k = e.k AND b.side = 1 JOIN j x ON x.k = e.k AND x.side = 1 JOIN j y ON y.k = e.k AND y.side = 2
+"""
+
+
+ORACLE = {"op13_document_fingerprints": _op13(), "op12_spelling_variants": _OP12, "op11_source_divergence": _OP11, "op1_warc": _OP1, "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_license_scan": _op7(), "op8_ngram_jaccard_join": _OP8}
