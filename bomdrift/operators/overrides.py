@@ -77,16 +77,41 @@ def effective(fact: DataFrame, bom_over: DataFrame, excluded: DataFrame) -> Data
     return _recomputed(_active(joined)).select(*fact.columns)
 
 
+def adjustments(pairs: DataFrame, bom_over: DataFrame, excluded: DataFrame) -> DataFrame:
+    """What the users' edits change, by (parent, component): dropped pairs and replaced coefficients.
+
+    `pairs` are those that occur in the facts. Exclusions of either item are resolved here, on pairs, so that a fact
+    takes all edits by one join on the pair, which its buckets serve without a shuffle.
+    """
+    ids = excluded.select("item_id").distinct()
+    by_parent = pairs.join(ids.withColumnRenamed("item_id", "parent_id"), "parent_id", "left_semi")
+    by_component = pairs.join(ids.withColumnRenamed("item_id", "component_id"), "component_id", "left_semi")
+    none = F.lit(None).cast(S.QTY).alias("override_coef")
+    dropped = by_parent.select(*BOM_KEY).union(by_component.select(*BOM_KEY)).select(*BOM_KEY, F.lit(True).alias("dropped"), none)
+    lines = bom_over.select(*BOM_KEY, ~F.coalesce("active", F.lit(True)).alias("dropped"), F.col("bom_coef").alias("override_coef"))
+    return dropped.union(lines).groupBy(*BOM_KEY).agg(
+        F.bool_or("dropped").alias("dropped"), F.max("override_coef").alias("override_coef"))
+
+
+def adjusted(fact: DataFrame, changes: DataFrame) -> DataFrame:
+    """Weekly or order facts as the user sees them, by one join with the adjustments of their pairs."""
+    joined = fact.join(changes, BOM_KEY, "left").filter(~F.coalesce("dropped", F.lit(False)))
+    return _recomputed(joined).select(*fact.columns)
+
+
 # -- editing -------------------------------------------------------------------
 
 
-def _keys(like: DataFrame, keys: DataFrame | Sequence, names: list[str]) -> DataFrame:
+BOM_KEY = ["parent_id", "component_id"]
+
+
+def keys_of(spark: SparkSession, keys: DataFrame | Sequence, names: list[str]) -> DataFrame:
     """Keys of one action, each once: a table of any size, or a list."""
     if not isinstance(keys, DataFrame):
         if not keys:
             raise ValueError("no row selected")
         rows = [k if isinstance(k, tuple) else (k,) for k in keys]
-        keys = like.sparkSession.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+        keys = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     return keys.select(*names).distinct()
 
 
@@ -98,22 +123,39 @@ def _marked(keys: DataFrame, schema, **values: object) -> DataFrame:
     ])
 
 
+def exclusion_rows(
+    spark: SparkSession, item_ids: DataFrame | Sequence[str], reason: str | None, author: str | None, at: datetime
+) -> DataFrame:
+    """The rows that exclude items."""
+    keys = keys_of(spark, item_ids, ["item_id"])
+    return _marked(keys, S.EXCLUSION, reason=reason, modified_by=author, modified_at=at)
+
+
+def override_rows(
+    spark: SparkSession, pairs: DataFrame | Sequence[tuple[str, str]], active: bool,
+    coef: float | Decimal | None, reason: str | None, author: str | None, at: datetime,
+) -> DataFrame:
+    """The rows that deactivate BOM lines or replace their coefficient."""
+    if coef is not None and coef <= 0:
+        raise ValueError("a BOM coefficient must be positive; deactivate the line instead")
+    return _marked(
+        keys_of(spark, pairs, BOM_KEY), S.BOM_OVERRIDE, active=active,
+        bom_coef=None if coef is None else Decimal(str(coef)), reason=reason, modified_by=author,
+        modified_at=at,
+    )
+
+
 def exclude_items(
     excluded: DataFrame, item_ids: DataFrame | Sequence[str], reason: str | None,
     author: str | None, at: datetime,
 ) -> DataFrame:
     """Exclude items, or renew the reason of those already excluded."""
-    keys = _keys(excluded, item_ids, ["item_id"])
-    new = _marked(keys, S.EXCLUSION, reason=reason, modified_by=author, modified_at=at)
-    return upsert(excluded, new, ["item_id"])
+    return upsert(excluded, exclusion_rows(excluded.sparkSession, item_ids, reason, author, at), ["item_id"])
 
 
 def include_items(excluded: DataFrame, item_ids: DataFrame | Sequence[str]) -> DataFrame:
     """Take items back into the analysis."""
-    return delete_keys(excluded, _keys(excluded, item_ids, ["item_id"]), ["item_id"])
-
-
-BOM_KEY = ["parent_id", "component_id"]
+    return delete_keys(excluded, keys_of(excluded.sparkSession, item_ids, ["item_id"]), ["item_id"])
 
 
 def override_bom(
@@ -121,19 +163,13 @@ def override_bom(
     coef: float | Decimal | None, reason: str | None, author: str | None, at: datetime,
 ) -> DataFrame:
     """Deactivate BOM lines or replace their coefficient (None keeps the original)."""
-    if coef is not None and coef <= 0:
-        raise ValueError("a BOM coefficient must be positive; deactivate the line instead")
-    new = _marked(
-        _keys(bom_over, pairs, BOM_KEY), S.BOM_OVERRIDE, active=active,
-        bom_coef=None if coef is None else Decimal(str(coef)), reason=reason, modified_by=author,
-        modified_at=at,
-    )
+    new = override_rows(bom_over.sparkSession, pairs, active, coef, reason, author, at)
     return upsert(bom_over, new, BOM_KEY)
 
 
 def reset_bom(bom_over: DataFrame, pairs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
     """Remove overrides: the lines are again those of the source."""
-    return delete_keys(bom_over, _keys(bom_over, pairs, BOM_KEY), BOM_KEY)
+    return delete_keys(bom_over, keys_of(bom_over.sparkSession, pairs, BOM_KEY), BOM_KEY)
 
 
 def override_summary(excluded: DataFrame, bom_over: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
-from bomdrift.operators import aggregates, dims, facts, quality
-from bomdrift.plans import storage
+from bomdrift.operators import aggregates, dims, facts, quality, zones
+from bomdrift.plans.versions import Entry, Store
 from bomdrift.sources import views
 from bomdrift.sources.testdata import Sources
 
@@ -24,6 +24,8 @@ class Params:
     dq_pct: float = 5.0
     company: Column | None = None
     fail_on_error: bool = True
+    #: Buckets of the facts by (parent, component); None takes one for each ROWS_PER_BUCKET rows of flows.
+    buckets: int | None = None
 
     def __post_init__(self) -> None:
         from datetime import date
@@ -35,11 +37,12 @@ class Params:
 
 @dataclass
 class Model:
-    """Views and tables by name."""
+    """Views and tables by name; of a written model, also how its store keeps them."""
 
     sources: Sources
     params: Params
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    entries: dict[str, Entry] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -57,8 +60,15 @@ class SourceContractError(RuntimeError):
     """The source tables lack expected columns."""
 
 
-# Intermediate tables written once and read by several later ones.
-STAGED = ("stock_flows", "order_production", "order_consumption")
+# Written beside the model's own tables: intermediate ones that several later ones read, the zone maps of the facts,
+# and the pairs that occur in them.
+STAGED = (
+    "stock_flows", "order_production", "order_consumption", "zones", "zones_order", "fact_pairs",
+)
+#: Kept by week, and those of them in buckets by (parent, component).
+WEEKLY = ("fact_production", "fact_consumption", "fact_variance", "fact_variance_order")
+BUCKETED = ("fact_variance", "fact_variance_order", "fact_pairs")
+ROWS_PER_BUCKET = 4_000_000
 
 
 def _compose(sources: Sources, params: Params, keep: Callable[[str, DataFrame], DataFrame]) -> Model:
@@ -93,6 +103,9 @@ def _compose(sources: Sources, params: Params, keep: Callable[[str, DataFrame],
             t["order_production"], t["order_consumption"], t["orders"], *shared
         ),
     )
+    put("zones", zones.zone_map(t["fact_variance"]))
+    put("zones_order", zones.zone_map(t["fact_variance_order"]))
+    put("fact_pairs", zones.pairs(t["fact_variance"], t["fact_variance_order"]))
     put("agg_week_program_line", aggregates.agg_week_program_line(t["fact_variance"]))
     put("agg_component", aggregates.agg_component(t["fact_variance"]))
     put("dq_checks", quality.dq_checks(model.quality_inputs()))
@@ -114,33 +127,39 @@ def build(spark: SparkSession, sources: Sources, params: Params, out_dir: str) -
 
     Reading back cuts the lineage on storage that outlives executors, and gives Spark file
     sizes, so that it broadcasts a dimension only when it is measurably small. The source
-    contract is checked first. The tables are written beside the live ones and take their place when the quality
-    gate has passed them, so that a failed or refused run leaves the old model as it was.
+    contract is checked first. The tables go to new folders; when the quality gate has passed
+    them, one commit makes them a version of the store in `out_dir`. A failed or refused run
+    leaves the last version as it was, and so does everything else in the folder.
     """
     problems = views.check_source_columns(spark, sources.as_dict()).collect()
     if problems:
         raise SourceContractError(
             "; ".join(f"{p.table}: missing {p.missing} (found {p.available})" for p in problems)
         )
+    store, entries = Store(spark, out_dir), {}
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         if name in S.TABLES:
             df = S.TABLES[name].project(df)
         elif name not in STAGED:
             return df
-        path = f"{staging}/{name}"
-        storage.write(df, path)
-        return spark.read.parquet(path)
+        buckets = 0
+        if name in BUCKETED:
+            buckets = params.buckets or -(-max(entries["stock_flows"].rows, 1) // ROWS_PER_BUCKET)
+        entries[name] = store.stage(name, df, name in WEEKLY, buckets)
+        return store.read(name, entries[name])
 
-    staging = f"{out_dir}{storage.STAGING}"
     model = _compose(sources, params, keep)
     quality.dq_gate(model["dq_checks"], params.fail_on_error)
-    storage.swap(spark, staging, out_dir)
-    kept = {
-        name: spark.read.parquet(f"{out_dir}/{name}") if name in S.TABLES or name in STAGED else df
-        for name, df in model.tables.items()
-    }
-    return Model(sources, params, kept)
+    store.commit(entries)
+    return Model(sources, params, model.tables, entries)
+
+
+def stored_model(spark: SparkSession, sources: Sources, params: Params, out_dir: str) -> Model:
+    """The model of the last version in a folder."""
+    store = Store(spark, out_dir)
+    entries = store.version().tables
+    return Model(sources, params, {name: store.read(name, e) for name, e in entries.items()}, entries)
 
 
 def table_counts(model: Model) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from datetime import UTC, datetime
+from dataclasses import replace
+from datetime import UTC, date, datetime
 from functools import reduce
 from operator import or_
 
@@ -15,6 +16,7 @@ from bomdrift import schemas as S
 from bomdrift.operators import grids
 from bomdrift.plans import storage
 from bomdrift.plans.build import Model
+from bomdrift.plans.versions import WEEK, Entry, Store
 
 LOGGER = logging.getLogger("bomdrift.publish")
 LOG_NAME = "load_log"
@@ -72,23 +74,46 @@ def check_key(df: DataFrame, key: Sequence[str], name: str) -> None:
         raise ValueError(f"{name}: key {bad[0].asDict()} is repeated or NULL")
 
 
+def _renewed(store: Store, name: str, model: Model, old: Entry | None) -> Entry:
+    """The table's next version: weeks (or a whole table) whose rows are those published already are not written."""
+    df, source = S.TABLES[name].project(model[name]), model.entries.get(name)
+    if source is None or old is None or (source.schema, source.weekly, source.buckets) != (old.schema, old.weekly, old.buckets):
+        check_key(df, S.TABLES[name].key, name)
+        return store.stage(name, df, bool(source and source.weekly), source.buckets if source else 0)
+    if source.same(old):
+        return old
+    if not source.weekly:
+        check_key(df, S.TABLES[name].key, name)
+        return store.stage(name, df, False, source.buckets)
+    unchanged = {w: p for w, p in old.parts.items() if w in source.parts and (p.rows, p.digest) == (source.parts[w].rows, source.parts[w].digest)}
+    new = [date.fromisoformat(w) for w in source.parts if w not in unchanged]
+    rows = df.where(F.col(WEEK).isin(*new)) if new else df.limit(0)
+    check_key(rows, S.TABLES[name].key, name)
+    return store.stage(name, rows, True, source.buckets, reuse=replace(old, parts=unchanged))
+
+
 def publish(
     spark: SparkSession, model: Model, out_dir: str, tables: Sequence[str] | None = None,
     run_id: str = "local",
 ) -> dict[str, int]:
-    """Publish tables one by one through a staging folder, and log each load.
+    """Publish tables one by one, each as a new version of the store in `out_dir`, and log each load.
 
-    A table with a NULL or repeated key is refused, as a keyed target would refuse it.
+    A table with a NULL or repeated key is refused, as a keyed target would refuse it; a fact's key lies within its
+    buckets, so that the check needs no shuffle. Of a table kept by week only the weeks that changed are checked and
+    written; the row counts are taken while writing.
 
-    A failure leaves the table's old version in place, is logged, and stops the run.
+    A failure leaves the last version in place, is logged, and stops the run.
     """
+    store = Store(spark, out_dir)
     counts: dict[str, int] = {}
     for name in select_tables(tables):
         started = datetime.now(UTC)
         try:
-            projected = S.TABLES[name].project(model[name])
-            check_key(projected, S.TABLES[name].key, name)
-            counts[name] = storage.replace(spark, projected, f"{out_dir}/{name}")
+            old = store.version().tables.get(name)
+            entry = _renewed(store, name, model, old)
+            if entry is not old:
+                store.commit({name: entry})
+            counts[name] = entry.rows
         except Exception as error:
             try:
                 row = log_row(name, -1, started, datetime.now(UTC), run_id, str(error))
@@ -122,8 +147,3 @@ def export_grid(
     else:
         raise ValueError(f"unknown format {fmt}")
     return grids.export_truncated(df, limit).first().truncated
-
-
-def store_edits(edited: DataFrame, path: str) -> int:
-    """Replace a stored override table by its edited version, which may read the old one; returns its rows."""
-    return storage.replace(edited.sparkSession, edited, path)

@@ -1,13 +1,11 @@
-"""Written tables: layout, staged replacement."""
+"""Files and folders of any storage that Hadoop reads, and the layout of written tables."""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAGING = "__stg"
-RETIRED = "__old"
-
 
 def _fs(spark: SparkSession, path: str):
     """Hadoop file system of a path, so that any shared storage works."""
@@ -26,11 +24,40 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, jvm = _fs(spark, source)
-    path = jvm.org.apache.hadoop.fs.Path
-    if not fs.rename(path(source), path(target)):
-        raise OSError(f"cannot rename {source} to {target}")
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, time of change in ms) of what a folder holds; nothing if there is no such folder."""
+    fs, jvm = _fs(spark, path)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    return [(f.getPath().getName(), f.getModificationTime()) for f in found]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file; one that was not written to its end raises ValueError."""
+    fs, jvm = _fs(spark, path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "ChecksumException":
+            raise
+        raise ValueError(f"{path} is broken") from error
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; returns whether this call did, and not another run before it."""
+    fs, jvm = _fs(spark, path)
+    try:
+        stream = fs.create(jvm.org.apache.hadoop.fs.Path(path), False)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    stream.write(text.encode())
+    stream.close()
+    return True
 
 
 def laid_out(df: DataFrame) -> DataFrame:
@@ -48,33 +75,3 @@ def laid_out(df: DataFrame) -> DataFrame:
 
 def write(df: DataFrame, path: str) -> None:
     laid_out(df).write.mode("overwrite").parquet(path)
-
-
-def swap(spark: SparkSession, staging: str, path: str) -> None:
-    """Put what was staged in a folder's place; if that fails, the old content is put back."""
-    retired = path + RETIRED
-    had_old = exists(spark, path)
-    if had_old:
-        if exists(spark, retired):
-            remove(spark, retired)
-        rename(spark, path, retired)
-    try:
-        rename(spark, staging, path)
-    except Exception:
-        if had_old:
-            rename(spark, retired, path)
-        raise
-    if had_old:
-        remove(spark, retired)
-
-
-def replace(spark: SparkSession, df: DataFrame, path: str) -> int:
-    """Write a table next to its target and swap it in; returns the number of rows written.
-
-    Until the swap the old table is untouched, so a failed write leaves it intact.
-    """
-    staging = path + STAGING
-    write(df, staging)
-    rows = spark.read.parquet(staging).count()
-    swap(spark, staging, path)
-    return rows

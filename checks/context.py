@@ -7,6 +7,8 @@ users do; without a shared folder they are refused.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 from bomdrift.operators import overrides
 from bomdrift.plans import build as jobs
 from bomdrift.plans import storage
+from bomdrift.plans.edits import UserEdits
+from bomdrift.plans.versions import Store
 from bomdrift.session import work_folder
 from bomdrift.sources import testdata
 
@@ -69,15 +73,34 @@ class Context:
     def raw_fact(self) -> DataFrame:
         return self.model["fact_variance"]
 
+    @property
+    def zones(self) -> DataFrame:
+        """A row for each week of the fact, read in place of the fact for bounds and lists."""
+        return self.model["zones"]
+
+    @cached_property
+    def adjustments(self) -> DataFrame:
+        """The user tables as changes of pairs, in the buckets of the facts."""
+        changes = overrides.adjustments(self.model["fact_pairs"], self.bom_over, self.excluded)
+        store = Store(self.spark, f"{self.folder}/user")
+        entry = store.stage("adjustments", changes, buckets=self.model.entries["fact_variance"].buckets)
+        store.commit({"adjustments": entry})
+        return store.read("adjustments")
+
     @cached_property
     def fact(self) -> DataFrame:
-        return overrides.effective(self.raw_fact, self.bom_over, self.excluded)
+        return overrides.adjusted(self.raw_fact, self.adjustments)
 
     @cached_property
     def fact_order(self) -> DataFrame:
-        return overrides.effective(
-            self.model["fact_variance_order"], self.bom_over, self.excluded
-        )
+        return overrides.adjusted(self.model["fact_variance_order"], self.adjustments)
+
+    def edits(self) -> UserEdits:
+        """A new log of edits that begins with the user tables."""
+        edits = UserEdits(self.spark, f"{self.folder}/edits-{uuid.uuid4().hex}")
+        edits.excluded.save(self.excluded, datetime(2001, 8, 1))
+        edits.overridden.save(self.bom_over, datetime(2001, 8, 1))
+        return edits
 
 
 _CONTEXTS: dict[tuple[str, str], Context] = {}
@@ -88,7 +111,7 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     key = (spark.sparkContext.applicationId, sf_dir)
     found = _CONTEXTS.get(key)
     if found is not None and "model" in vars(found) and found.folder is not None:
-        if not storage.exists(spark, f"{found.folder}/model/dq_checks"):
+        if not storage.exists(spark, f"{found.folder}/model"):
             found = None
     if found is None:
         found = _CONTEXTS[key] = Context(spark, sf_dir)
