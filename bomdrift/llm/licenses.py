@@ -6,12 +6,15 @@ Known sentences give a sequence of identifiers in the order of the text. Licence
 ordered lists of identifiers that must occur in this order, others between them allowed; a rule consumes what
 it matches.
 
-Null and empty texts have no sentences and no licence. Repeated rows are judged alike; an empty table gives an
-empty result. All other columns are left alone.
+Null and empty texts have no sentences and no licence. Texts of any length are judged whole, in time that grows with
+their sentences. Repeated rows are judged alike; an empty table gives an empty result. Columns named sentence_ids and
+licenses are replaced; all others are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,20 +92,55 @@ def recognised(docs: DataFrame) -> DataFrame:
     named = lambda s: F.element_at(known, _normal(s))
     lines = lambda s: F.transform(F.split(s, "\n"), named)
     found = F.transform(F.split(hinted, ENDS), lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(lines(s)))
-    ids = F.coalesce(F.array_compact(F.flatten(found)), F.array().cast("array<string>"))
+    ids = F.coalesce(F.array_compact(F.flatten(found)), _none())
     rows = docs.withColumn("sentence_ids", ids)
-    left = F.when(F.size("sentence_ids") > 0, F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")))
-    matched = []
-    for name, own in RULES:
-        matched.append(F.when(left.rlike(_rule(own)), F.lit(name)))
-        left = F.regexp_replace(left, _rule(own), _rest(own))
-    return rows.withColumn("licenses", F.array_distinct(F.array_compact(F.array(*matched))))
+    return rows.withColumn("licenses", F.when(F.size("sentence_ids") > 0, _matched(F.col("sentence_ids"))).otherwise(_none()))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _matched(ids: Column) -> Column:
+    """The licences whose rules match, each rule on what the rules before it have left.
+
+    A rule is one pass over the identifiers with one number as its state: how many it has met in its order, over and
+    over. What belongs to a whole match is consumed; a match begun and not ended consumes nothing.
+    """
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("own")) for name, own in RULES))
+
+    def step(state: Column, rule: Column) -> Column:
+        wanted = lambda met: F.get(rule["own"], met % F.size(rule["own"]))
+        met = F.aggregate(state["left"], F.lit(0), lambda n, x: n + (x == wanted(n)).cast("int"))
+        whole = _let(met, lambda n: n - n % F.size(rule["own"]))
+        return _let(whole, lambda n: F.when(n > 0, F.struct(
+            _unused(state["left"], n, wanted).alias("left"), F.concat(state["found"], F.array(rule["name"])).alias("found"))).otherwise(state))
+
+    begin = F.struct(ids.alias("left"), _none().alias("found"))
+    return F.array_distinct(F.aggregate(rules, begin, step)["found"])
+
+
+#: Identifiers handled at once: arrays that grow by one are copied, so they are kept short.
+PIECE = 256
+
+
+def _unused(ids: Column, consumed: Column, wanted: Callable[[Column], Column]) -> Column:
+    """The identifiers without the first `consumed` ones that a rule meets."""
+
+    def one(state: Column, x: Column) -> Column:
+        hit = (state["met"] < consumed) & (x == wanted(state["met"]))
+        return F.when(hit, F.struct((state["met"] + 1).alias("met"), state["left"].alias("left"))).otherwise(
+            F.struct(state["met"].alias("met"), F.concat(state["left"], F.array(x)).alias("left")))
 
+    def piece(state: Column, part: Column) -> Column:
+        after = F.aggregate(part, F.struct(state["met"].alias("met"), _none().alias("left")), one)
+        return _let(after, lambda s: F.struct(s["met"].alias("met"), F.concat(state["left"], F.array(s["left"])).alias("left")))
 
-def _rule(ids: tuple[str, ...]) -> str:
-    """The identifiers in order; each stands between two blanks of its own, what is between them is a group."""
-    return "((?: [^ ]+ )*?)".join(f" {i} " for i in ids)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / PIECE).cast("int")), lambda i: F.slice(ids, i * PIECE + 1, PIECE))
+    begin = F.struct(F.lit(0).alias("met"), F.array().cast("array<array<string>>").alias("left"))
+    return F.flatten(F.aggregate(pieces, begin, piece)["left"])
 
 
-def _rest(ids: tuple[str, ...]) -> str:
-    return "".join(f"${k}" for k in range(1, len(ids)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]

@@ -152,7 +152,8 @@ def _op7() -> str:
     norm = lambda x: f"trim(regexp_replace({x}, '{licenses.BETWEEN}', ' ', 'g'))"
     steps, left = [], "left0"
     for k, (name, own) in enumerate(licenses.RULES):
-        rule, rest = licenses._rule(own), "".join(f"\\{i}" for i in range(1, len(own)))
+        rule = "((?: [^ ]+ )*?)".join(f" {i} " for i in own)  # each stands between two blanks, what is between them is a group
+        rest = "".join(f"\\{i}" for i in range(1, len(own)))
         steps.append(f"r{k} AS (SELECT * REPLACE (regexp_replace(rest, '{rule}', '{rest}', 'g') AS rest, CASE WHEN regexp_matches(rest, '{rule}') THEN list_append(found, '{name}') ELSE found END AS found) FROM {left})")
         left = f"r{k}"
     return f"""

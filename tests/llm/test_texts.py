@@ -251,6 +251,41 @@ def test_licences_by_ordered_sentences(spark):
     assert found == {1: ["MIT", "all-rights-reserved"], 2: [], 3: ["CC-BY-NC-4.0"], 4: ["Apache-2.0"], 5: [], 6: [], 7: [], 8: ["MIT"]}
 
 
+def brute_licences(ids):
+    """The rules as patterns over the identifiers, each on what is left."""
+    left, found = " " + "  ".join(ids) + " ", []
+    for name, own in licenses.RULES:
+        rule = "((?: [^ ]+ )*?)".join(f" {i} " for i in own)
+        if re.search(rule, left):
+            found.append(name)
+        left = re.sub(rule, "".join(f"\\{k}" for k in range(1, len(own))), left)
+    return list(dict.fromkeys(found))
+
+
+def test_licence_rules_are_those_of_the_patterns(spark):
+    import random
+
+    r = random.Random(6)
+    names = sorted(set(licenses.SENTENCES.values()))
+    some = [[r.choice(r.sample(names, r.randrange(1, 7))) for _ in range(r.choice([1, 3, 8, 40, 300]))] for _ in range(150)]
+    some += [[i for i in names if i.startswith(("bsd", "gpl", "mit"))] * 3]
+    frame = spark.createDataFrame([(k, ids) for k, ids in enumerate(some)], "k long, ids array<string>")
+    got = {x["k"]: x["found"] for x in frame.select("k", licenses._matched(F.col("ids")).alias("found")).collect()}
+    assert got == {k: brute_licences(ids) for k, ids in enumerate(some)}
+
+
+def test_every_known_sentence_has_a_hint():
+    assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES)
+
+
+def test_licences_of_very_long_texts(spark):
+    known = list(licenses.SENTENCES)
+    docs = [(1, "All rights reserved.\n" * 20_000), (2, ". ".join(known * 600) + "."), (3, "no licence here. " * 100_000)]
+    found = {x["doc_id"]: (len(x["sentence_ids"]), x["licenses"]) for x in licenses.recognised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[1] == (20_000, ["all-rights-reserved"]) and found[3] == (0, [])
+    assert found[2][0] == 600 * len(known) and set(found[2][1]) == {n for n, _ in licenses.RULES if n != "BSD-2-Clause"}
+
+
 def test_empty_tables(documents, benchmark_items):
     none = documents.where("false")
     assert not substrings.cleaned(none).count() and not quality.filtered(none).count() and not jaccard.classes(none).count()
