@@ -1,26 +1,34 @@
 """WARC archives as a Python data source: spark.read.format("warc"), frame.write.format("warc").
 
-Reading. `path` names files (comma-separated) or a folder whose _manifest.json lists the files of finished
-writes. A file that is longer than `partition_bytes` is cut at its members' places, which an index file beside
-it (.idx) lists, else it is one partition. Each record is its own gzip member: its headers are inflated first,
-and if the pushed filters on record_type, record_id or target_uri reject them, the rest of the member is skipped
-undecoded (the index gives the next member's place). With option payload=false no payload is inflated.
-
-Writing. Each task writes one file per 64 MB under a name of its own attempt, and the commit, which Spark does
-once with the files of the successful attempts, lists them in the manifest.
-
-Null urls have no WARC-Target-URI. A null id is written as no id and read as null.
+Reading. `path` names files (comma-separated) or a folder whose _manifest*.json files list the files of finished
+writes. A file that is longer than `partition_bytes` is cut at its members' places, which an index file beside it
+(.idx) holds: a task reads its own range of the index. Other files, gzip members of one or more records each or plain
+text, are one partition and are streamed. Headers are read first; if the pushed filters on record_type, record_id or
+target_uri reject a record, its block is skipped: undecoded in a file with index and in a plain one, inflated and
+dropped piece by piece else. With option payload=false no payload is kept.
+
+Writing. Each record is its own gzip member. Each task writes one file per 64 MB under a name of its own attempt, and
+the commit, which Spark does once with the files of the successful attempts, lists them in a manifest of its own:
+what was written before stays, unless the write overwrites. A record id or URI that holds blanks, control characters
+or code points above ASCII is percent-encoded, which a header of its own says, and is read as it was written.
+
+Null urls have no WARC-Target-URI. A null id is written as no id and read as null. A null payload is an empty one.
+Rows that repeat are records of their own. Payloads of any length that memory holds are written and read whole. Other
+columns of the pages are not read. An empty table makes an archive without files, which reads as no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import io
 import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +44,20 @@ READ_SCHEMA = "record_id string, record_type string, target_uri string, refers_t
 FILE_BYTES = 64 << 20
 PARTITION_BYTES = 16 << 20
 _PUSHED = ("record_type", "record_id", "target_uri")
+#: Names the headers of a record that are percent-encoded.
+ESCAPED = "X-Percent-Encoded"
+_ESCAPED = {"warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-refers-to": "refers_to"}
+_CHUNK = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 
 
 def _field(value: str) -> str:
-    """A header value on one line."""
-    return "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) if ord(c) < 256 else "?" for c in value)
+    """A header value in printable ASCII: as it is, or percent-encoded."""
+    return value if _plain(value) else quote(value, safe="")
+
+
+def _plain(value: str) -> bool:
+    return all("!" <= c <= "~" for c in value)
 
 
 def record(row: dict) -> bytes:
@@ -56,6 +72,9 @@ def record(row: dict) -> bytes:
     if row["refers_to"] is not None:
         head.append(f"WARC-Refers-To: <{_field(row['refers_to'])}>")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    escaped = [name for name, key in _ESCAPED.items() if row[key] is not None and not _plain(row[key])]
+    if escaped:
+        head.append(f"{ESCAPED}: {', '.join(escaped)}")
     digest = base64.b32encode(bytes.fromhex(row["payload_sha1"])).decode()
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -67,36 +86,92 @@ def headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
-class _Member:
-    """One gzip member, inflated as far as it is asked for."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.inflate, self.data = raw, zlib.decompressobj(31), b""
-
-    def until(self, mark: bytes, start: int = 0) -> int:
-        while (at := self.data.find(mark, start)) < 0:
-            if not self._more():
+class _Stream:
+    """The bytes of a file or a part of one, gzip members one after another or plain, with bounded memory."""
+
+    def __init__(self, file):
+        self.file, self.data = file, b""
+        self.raw = file.read(_CHUNK)
+        self.inflate = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
+        if self.inflate is None:
+            self.data, self.raw = self.raw, b""
+
+    def _more(self, most: int = _CHUNK) -> bool:
+        """Take in more bytes; False at the end."""
+        if self.inflate is None:
+            got = self.file.read(_CHUNK)
+            self.data += got
+            return bool(got)
+        while True:
+            if self.inflate.eof:
+                self.raw = self.inflate.unused_data or self.file.read(_CHUNK)
+                if not self.raw.strip(b"\0"):
+                    return False
+                self.inflate = zlib.decompressobj(31)
+            source = self.inflate.unconsumed_tail or self.raw or self.file.read(_CHUNK)
+            self.raw = b""
+            if not source:
+                return False
+            got = self.inflate.decompress(source, most)
+            if got:
+                self.data += got
+                return True
+
+    def next_record(self) -> bytes | None:
+        """The headers of the record that follows, past the empty lines before it; None at the end of the stream."""
+        while True:
+            self.data = self.data.lstrip(b"\r\n")
+            if self.data:
+                return self.head()
+            if not self._more(1024):
+                return None
+
+    def head(self) -> bytes:
+        """Up to an empty line."""
+        while (at := self.data.find(b"\r\n\r\n")) < 0:
+            if not self._more(1024):
                 raise ValueError("a record ends within its headers")
-        return at
-
-    def upto(self, size: int) -> None:
-        while len(self.data) < size and self._more():
-            pass
-
-    def _more(self) -> bool:
-        source = self.inflate.unconsumed_tail or (self.raw if not self.data and not self.inflate.eof else b"")
-        if self.inflate.eof or not source:
-            return False
-        self.data += self.inflate.decompress(source, 1024 if not self.data else 1 << 20)
-        return True
+        out, self.data = self.data[:at], self.data[at + 4 :]
+        return out
+
+    def take(self, size: int) -> bytes:
+        parts = [self.data[:size]]
+        have, self.data = len(parts[0]), self.data[size:]
+        while have < size and self._more():
+            parts.append(self.data[: size - have])
+            self.data = self.data[len(parts[-1]) :]
+            have += len(parts[-1])
+        if have < size:
+            raise ValueError("a record ends within its block")
+        return b"".join(parts)
+
+    def skip(self, size: int) -> None:
+        if self.inflate is None and size > len(self.data):
+            self.file.seek(self.file.tell() + size - len(self.data))
+            self.data = b""
+            return
+        while size:
+            if not self.data and not self._more():
+                raise ValueError("a record ends within its block")
+            gone = min(size, len(self.data))
+            self.data, size = self.data[gone:], size - gone
 
 
 @dataclass
 class Cut(InputPartition):
-    """A run of members of a file: (start, size) of each; None: walk the file."""
+    """Members first..last - 1 of a file, by its index; last None: the whole file, without index."""
 
     file: str
-    members: list[tuple[int, int]] | None
+    first: int = 0
+    last: int | None = None
+
+
+def manifests(fs, root: str) -> list[str]:
+    """The lists of files of finished writes, in order of their names."""
+    from pyarrow import fs as arrow
+
+    found = fs.get_file_info(arrow.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name.startswith("_manifest") and i.base_name.endswith(".json"))
 
 
 class WarcReader(DataSourceReader):
@@ -120,68 +195,67 @@ class WarcReader(DataSourceReader):
             fs, root = filesystem(path)
             names = [path]
             if fs.get_file_info(root).type.name == "Directory":
-                with fs.open_input_file(f"{root}/_manifest.json") as f:
-                    names = [f"{path.rstrip('/')}/{n}" for n in json.loads(f.read())]
+                names = [f"{path.rstrip('/')}/{n}" for m in manifests(fs, root) for n in json.loads(fs.open_input_file(m).read())]
             for name in names:
                 _, own = filesystem(name)
-                if fs.get_file_info(f"{own}.idx").type.name != "File":
-                    cuts.append(Cut(name, None))
+                whole, index = fs.get_file_info([own, f"{own}.idx"])
+                if index.type.name != "File":
+                    cuts.append(Cut(name))
                     continue
-                with fs.open_input_file(f"{own}.idx") as f:
-                    raw = f.read()
-                at, run, size = 0, [], 0
-                for (n,) in struct.iter_unpack("<Q", raw):
-                    run.append((at, n))
-                    at, size = at + n, size + n
-                    if size >= self.size:
-                        cuts.append(Cut(name, run))
-                        run, size = [], 0
-                if run:
-                    cuts.append(Cut(name, run))
-        return cuts or [Cut("", [])]
-
-    def _members(self, cut: Cut) -> Iterator[bytes]:
-        if cut.members is not None and not cut.members:
+                members = index.size // 8 - 1
+                step = max(1, members * self.size // max(whole.size, 1))  # members of about a partition's bytes
+                cuts += [Cut(name, at, min(at + step, members)) for at in range(0, members, step)]
+        return cuts or [Cut("")]
+
+    def _records(self, cut: Cut) -> Iterator[tuple[_Stream, bool]]:
+        """Streams that begin with a record, and whether they hold that one only."""
+        if not cut.file:
             return
         fs, name = filesystem(cut.file)
         with fs.open_input_file(name) as f:
-            if cut.members is None:  # a file of others: find the members by inflating
-                raw = f.read()
-                while raw:
-                    d = zlib.decompressobj(31)
-                    d.decompress(raw)
-                    rest = d.unused_data
-                    yield raw[: len(raw) - len(rest)]
-                    raw = rest
+            if cut.last is None:
+                yield _Stream(f), False
                 return
-            first, last = cut.members[0][0], sum(cut.members[-1])
-            f.seek(first)
-            raw = f.read(last - first)
-            for at, size in cut.members:
-                yield raw[at - first : at - first + size]
+            with fs.open_input_file(f"{name}.idx") as index:
+                index.seek(8 * cut.first)
+                places = struct.unpack(f"<{cut.last - cut.first + 1}Q", index.read(8 * (cut.last - cut.first + 1)))
+            f.seek(places[0])
+            raw = f.read(places[-1] - places[0])
+            for at, end in zip(places, places[1:]):
+                yield _Stream(io.BytesIO(raw[at - places[0] : end - places[0]])), True
 
     def read(self, partition):
         rows: list[tuple] = []
-        for raw in self._members(partition):
-            member = _Member(raw)
-            end = member.until(b"\r\n\r\n")
-            own = headers(member.data[:end])
-            bare = lambda k: own[k].strip("<>") if k in own else None
-            found = {"record_type": own.get("warc-type"), "record_id": bare("warc-record-id"), "target_uri": own.get("warc-target-uri")}
-            if any(found[k] not in v for k, v in self.wanted.items()):
-                continue
-            body = member.until(b"\r\n\r\n", end + 4) + 4
-            size = headers(member.data[end + 4 : body - 4]).get("content-length")
-            payload = None
-            if self.payload:
-                member.upto(end + 4 + int(own["content-length"]))
-                payload = member.data[body : end + 4 + int(own["content-length"])]
-            kind, _, text = own.get("warc-payload-digest", "").partition(":")
-            digest = base64.b32decode(text).hex() if kind == "sha1" and len(text) == 32 else text.lower() or None
-            rows.append((found["record_id"], found["record_type"], found["target_uri"], bare("warc-refers-to"), int(size) if size else None, digest, payload))
-            if len(rows) >= 1000:
-                yield _batch(rows)
-                rows = []
+        for stream, alone in self._records(partition):
+            while (head := stream.next_record()) is not None:
+                own = headers(head)
+                coded = own.get(ESCAPED.lower(), "")
+                bare = {k: own[k] if k == "warc-target-uri" else own[k].strip("<>") for k in _ESCAPED if k in own}
+                value = {k: unquote(v) if k in coded else v for k, v in bare.items()}
+                found = {"record_type": own.get("warc-type"), "record_id": value.get("warc-record-id"), "target_uri": value.get("warc-target-uri")}
+                left = int(own.get("content-length", 0))
+                if any(found[k] not in v for k, v in self.wanted.items()):
+                    if alone:
+                        break
+                    stream.skip(left)
+                    continue
+                size, payload = None, None
+                if own.get("content-type", "").startswith("application/http"):
+                    http = stream.head()
+                    left -= len(http) + 4
+                    size = headers(http).get("content-length")
+                if self.payload:
+                    payload = stream.take(left)
+                elif not alone:
+                    stream.skip(left)
+                kind, _, text = own.get("warc-payload-digest", "").partition(":")
+                digest = base64.b32decode(text).hex() if kind == "sha1" and len(text) == 32 else text.lower() or None
+                rows.append((found["record_id"], found["record_type"], found["target_uri"], value.get("warc-refers-to"), int(size) if size else None, digest, payload))
+                if len(rows) >= 1000:
+                    yield _batch(rows)
+                    rows = []
+                if alone:
+                    break
         if rows:
             yield _batch(rows)
 
@@ -198,8 +272,8 @@ class Files(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", 3))
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 3)), overwrite
 
     def write(self, iterator):
         fs, root = filesystem(self.path)
@@ -209,7 +283,7 @@ class WarcWriter(DataSourceArrowWriter):
         def close() -> None:
             out.close()
             with fs.open_output_stream(f"{root}/{names[-1]}.idx") as f:
-                f.write(struct.pack(f"<{len(sizes)}Q", *sizes))
+                f.write(struct.pack(f"<{len(sizes) + 1}Q", 0, *accumulate(sizes)))
 
         for batch in iterator:
             columns = batch.schema.names
@@ -232,8 +306,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json") as f:
+        before = manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for old in before:
+            fs.delete_file(old)
 
     def abort(self, messages):
         """Files of a failed write are in no manifest."""
@@ -251,7 +328,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -43,7 +43,7 @@ def test_archive_round_trip(pages):
         urn = lambda i: None if i is None else f"urn:x-page:{i}"
         want[urn(r["page_id"]), "revisit" if again else "response", urn(max(same)) if again else None, len(raw), hashlib.sha1(raw).hexdigest(), b"" if again else raw] += 1
     assert found == want
-    assert {r["target_uri"] for r in got.collect()} == {"http://a/1", "http://a/2", None, "http://b%0D%0AX: y", "u", "again"}
+    assert {r["target_uri"] for r in got.collect()} == {"http://a/1", "http://a/2", None, "http://b\r\nX: y", "u", "again"}
 
 
 def test_archive_filters_reach_the_reader(spark, pages):
@@ -63,6 +63,54 @@ def test_archive_filters_reach_the_reader(spark, pages):
     assert kept == [IsNotNull(("payload",))] and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 4
 
 
+def test_archives_grow_by_appends_and_are_replaced_by_overwrites(spark, pages):
+    warc.register(spark)
+    to = folder(spark, "warc")
+    records = warc.page_records(pages)
+    for kind in ("response", "revisit"):
+        records.where(F.col("record_type") == kind).write.format("warc").mode("append").save(to)
+    read = lambda: Counter(r[0] for r in spark.read.format("warc").load(to).select("record_type").collect())
+    assert read() == Counter(r[0] for r in records.select("record_type").collect()) and sum(read().values()) == pages.count()
+    records.where("record_type = 'revisit'").write.format("warc").mode("overwrite").save(to)
+    assert read() == {"revisit": 4}
+
+
+def _archive(path, rows, by_member, zipped):
+    import gzip
+
+    raw = [warc.record({"record_type": "response", "refers_to": None, "payload_bytes": len(p), "payload_sha1": hashlib.sha1(p).hexdigest(), "record_id": i, "target_uri": u, "payload": p}) for i, u, p in rows]
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Type: application/warc-fields\r\nContent-Length: 7\r\n\r\na: b\r\n\n\r\n\r\n"
+    raw = [info, *raw]
+    with open(path, "wb") as f:
+        for at in range(0, len(raw), by_member):
+            part = b"".join(raw[at : at + by_member])
+            f.write(gzip.compress(part) if zipped else part)
+
+
+@pytest.mark.parametrize("by_member, zipped", [(1, True), (2, True), (100, True), (1, False)])
+def test_archives_of_others_are_streamed_whole(spark, tmp_path, by_member, zipped):
+    rows = [(f"urn:{k}", f"http://h/{k} é\t%41", bytes([k]) * (k * 300_000)) for k in range(7)]
+    path = str(tmp_path / ("a.warc.gz" if zipped else "a.warc"))
+    _archive(path, rows, by_member, zipped)
+    warc.register(spark)
+    got = {r["record_id"]: (r["target_uri"], None if r["payload"] is None else bytes(r["payload"])) for r in spark.read.format("warc").load(path).collect()}
+    assert got == {"urn:i": (None, b"a: b\r\n\n"), **{i: (u, p) for i, u, p in rows}}
+    some = spark.read.format("warc").load(path).where("record_type = 'response' AND target_uri = 'http://h/5 é\t%41'")
+    assert [(r["record_id"], r["payload_bytes"], bytes(r["payload"])) for r in some.collect()] == [("urn:5", 1_500_000, rows[5][2])]
+    bare = spark.read.format("warc").option("payload", "false").load(path)
+    assert bare.where("payload IS NULL").count() == 8
+
+
+def test_a_record_cut_off_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "cut.warc")
+    _archive(path, [("urn:1", "u", b"x" * 5000)], 1, False)
+    whole = open(path, "rb").read()
+    open(path, "wb").write(whole[:-3000])
+    warc.register(spark)
+    with pytest.raises(Exception, match="ends within its block"):
+        spark.read.format("warc").load(path).collect()
+
+
 def test_empty_archive(pages):
     assert warc.archived(pages.where("false")).count() == 0
 
