@@ -20,6 +20,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bomdrift.llm.store import filesystem, folder, written
 from bomdrift.llm.tokens import SLICE, Encoder
@@ -198,10 +200,10 @@ def write(docs: DataFrame, path: str, end: int, shard: int = SHARD, ranges: int
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in all shards), ids of every document, from the files."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
-    files = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dict(map(tuple, manifest.groupBy("part").agg(F.sum("tokens")).collect()))  # RANGES rows at most
+    before = F.split(F.lit(",".join(str(x) for x in accumulate((totals.get(p, 0) for p in range(max(totals, default=0))), initial=0))), ",").cast("array<bigint>")
+    files = manifest.select("file", (F.get(before, F.col("part")) + F.coalesce(F.sum("tokens").over(within), F.lit(0))).alias("base"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Encoder.release()
