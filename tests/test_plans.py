@@ -7,10 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from bomdrift.operators import facts
 from bomdrift.operators.selection import Selection
-from checks.registry import _D1, _D2
+from checks.registry import _D1, _D2, QUERIES
 from tests.conftest import SMALL
 
 
@@ -18,9 +17,9 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_python_or_single_task_window(spark, name):
-    plan = executed(entry.queries()[name](spark, SMALL))
+    plan = executed(QUERIES[name](spark, SMALL))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "InPandas"):
         assert operator not in plan, operator
     # A window needs a partition key: the third argument list of the operator is not empty.
