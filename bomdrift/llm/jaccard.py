@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles of `words_` words in lower case; with fewer words, the whole
 sequence. Equal sets are one node. All shingles have one order, rare before frequent (a bounded sketch of
-their frequency, then the hash), and two similar sets share shingles among their first ones: sets of n
+their frequency over all documents, then the hash), and two similar sets share shingles among their first ones: sets of n
 shingles have n - ceil(0.8 n) + 1 first shingles of which one must be shared, or one more of which two must.
 
 Light sets (few shingles) enumerate every 2-subset of their first shingles as a key; heavy sets are looked up
@@ -10,9 +10,10 @@ in the inverted lists of single first shingles, as are the light sets that can b
 The boundary is the set size of least cost: rows of subsets against rows of lists and comparisons there.
 
 Links are wanted as classes, so not every pair of a list is verified. First each set of a list is compared
-with the list's least node and with the one before it. Then every pair of a list that is not yet in one class is compared:
-no link between classes is lost, and large groups of copies
-stay linear. Pairs that share too few keys for their sizes are not verified.
+with the list's least node and with the one before it. Further passes do so in other orders, for sets that are in
+different classes yet, while pairs of classes become fewer. Then every pair of a list that is still not in one class is
+compared: no link between classes is lost, and large groups of copies stay linear. Pairs that share too few keys for
+their sizes are not verified.
 
 Null doc_ids count as larger than any other. Null and empty texts have an empty set and are linked with
 nothing. Rows that repeat are alike. An empty table gives an empty result.
@@ -20,26 +21,31 @@ nothing. Rows that repeat are alike. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bomdrift.llm.components import components
-from bomdrift.llm.store import written
+from bomdrift.llm.store import discard, written
 from bomdrift.llm.words import BLANKS, mix, slices, words
 
 SHINGLE = 5
 PERCENT = 80
-#: Cells of the frequency sketch; one byte each is broadcast.
+#: Cells of the frequency sketch, counted over all documents; one byte each is broadcast.
 CELLS = 1 << 22
-#: A task reports a cell that it saw so many times more often than cells of that size come by chance.
-OFTEN = 4
+#: Parts of the sketch that are summed apart.
+CHUNKS = 64
 NONE = 2**63 - 1
 #: Comparisons of a set in an inverted list: with its least node and the one before it.
 VISITS = 2
+#: Passes go on while they leave at most this share of the pairs of classes.
+GAIN = 0.9
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +75,8 @@ def _ids(batch: pa.RecordBatch) -> pa.Array:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Per document (doc_id, n, node, check): node and check are 128 bits of its set. Per task (cell, times)."""
-    names = ["doc_id", "n", "node", "check", "cell", "times"]
+    """Per document (doc_id, n, node, check): node and check are 128 bits of its set. Per task its sketch, by (chunk, counts)."""
+    names = ["doc_id", "n", "node", "check", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
@@ -78,14 +84,39 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             value, at = _sets(batch["text"], size)
             seen += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             node, check = (mix(_sums(mix(value ^ np.uint64(salt)), at)).view(np.int64) for salt in (0, 0x5DEECE66D))
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.record_batch([_ids(batch), pa.array(np.diff(at), pa.int64()), pa.array(node), pa.array(check), none, none], names)
-        mean = seen.mean()
-        often = np.flatnonzero(seen >= OFTEN + mean + 6 * np.sqrt(mean))
-        none = pa.nulls(len(often), pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(often, pa.int64()), pa.array(seen[often], pa.int64())], names)
+            none = lambda kind: pa.nulls(batch.num_rows, kind)  # noqa: B023, E731
+            yield pa.record_batch([_ids(batch), pa.array(np.diff(at), pa.int64()), pa.array(node), pa.array(check), none(pa.int32()), none(pa.binary())], names)
+        if seen.any():
+            counts = [zlib.compress(part.tobytes(), 1) for part in np.minimum(seen, 2**32 - 1).astype(np.uint32).reshape(CHUNKS, -1)]
+            none = pa.nulls(CHUNKS, pa.int64())
+            yield pa.record_batch([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(counts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names).replace("check", "`check`"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, `check` long, chunk int, counts binary")
+
+
+def _levels(seen: DataFrame) -> np.ndarray:
+    """Of every cell an eighth of a power of two, by its count over all documents; 0 where chance alone may give it.
+
+    Sketches are summed as they stream by; the driver gets a byte for each cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"]):
+                own = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32).astype(np.int64)
+                sums[chunk] = sums[chunk] + own if chunk in sums else own
+        for chunk, own in sums.items():
+            grade = np.minimum(np.ceil(8 * np.log2(1 + own)), 255).astype(np.uint8)
+            yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([int(own.sum())]), pa.array([grade.tobytes()], pa.binary())], ["chunk", "total", "grades"])
+
+    whole = seen.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, total long, grades binary").toArrow()
+    grades, total = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint8), 0
+    for chunk, own, grade in zip(*(whole[c].to_pylist() for c in ("chunk", "total", "grades"))):
+        grades[chunk], total = np.frombuffer(grade, np.uint8), total + own
+    mean = total / CELLS
+    grades[grades <= 8 * np.log2(2 + mean + 6 * np.sqrt(mean))] = 0
+    return grades.reshape(-1)
 
 
 def _first(n: np.ndarray) -> np.ndarray:
@@ -216,28 +247,46 @@ def _sets_of(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, `set` binary")
 
 
-def _alike(light: int) -> str:
-    """Whether pairs of n_a and n_b shingles share as many keys as similar sets of their sizes must.
+def _alike(light: int, part: float = 1) -> str:
+    """Whether pairs of n_a and n_b shingles share as many keys, or this part of them, as similar sets of their sizes must.
 
     Of `need` shared shingles in sets of at most n, all but the last ceil(0.8 n) - 1 are among the first of both.
     """
     need = f"CEIL({PERCENT}D * (n_a + n_b) / {100 + PERCENT}) - CEIL({PERCENT}D * greatest(n_a, n_b) / 100) + 1"
-    return f"{_size_fits('n_a', 'n_b')} AND keys >= IF(greatest(n_a, n_b) <= {light}, 1, {need})"
+    return f"{_size_fits('n_a', 'n_b')} AND keys >= IF(greatest(n_a, n_b) <= {light}, 1, {part} * ({need}))"
 
 
 def _size_fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
+def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, n, class) of the lists whose nodes are in several classes."""
+    own = lists.select("key", "node", "n").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    mixed = own.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    return written(own.join(mixed, "key"), "lists")
+
+
+def _neighbours(own: DataFrame, salt: int, light: int) -> DataFrame:
+    """Pairs (a, b) of different classes that stand side by side in the lists, or one of them first, in an order of this pass."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(salt)), "node")
+    one = F.struct("node", "class", "n")
+    placed = own.withColumns({"before": F.lag(one).over(order), "first": F.first(one).over(order)})
+    met = placed.withColumn("hub", F.explode(F.array_distinct(F.array("before", "first")))).where("hub IS NOT NULL AND hub.class != class").where(_size_fits("n", "hub.n"))
+    below = F.col("node") < F.col("hub.node")
+    pick = lambda x, y: F.when(below, F.col(x)).otherwise(F.col(y))
+    many = met.groupBy(pick("node", "hub.node").alias("a"), pick("hub.node", "node").alias("b")).agg(
+        F.count("*").alias("keys"), F.max(pick("n", "hub.n")).alias("n_a"), F.max(pick("hub.n", "n")).alias("n_b"))
+    # in an order of its own, a pair stands side by side in some of its lists only
+    return many.where(_alike(light, 1 / 8)).select("a", "b")
+
+
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its class) for every row of docs."""
     spark = docs.sparkSession
     seen = written(_signatures(docs, size), "signatures")
-    rows = seen.where("cell IS NULL").select("doc_id", "n", "node", F.col("check"))
-    often = seen.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times"))
-    level = np.zeros(CELLS, np.uint8)
-    cells = often.select(F.col("cell").cast("int"), F.ceil(F.log2("times")).cast("int").alias("level")).toArrow()  # CELLS rows of 8 bytes at most
-    level[cells["cell"].to_numpy()] = cells["level"].to_numpy()
+    rows = seen.where("chunk IS NULL").select("doc_id", "n", "node", F.col("check"))
+    level = _levels(seen)
     sizes = {r["n"]: r["count"] for r in rows.where("n > 0").groupBy("n").count().collect()}  # a row per set size
     light = boundary(sizes)
     reps = rows.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"))
@@ -256,10 +305,20 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     links = written(_verified(pairs, texts, size), "near")
     label = components(links)
 
-    # pairs of a list that are in different classes yet
-    own = shared.select("key", "node", "n").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    mixed = own.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    own = written(own.join(mixed, "key"), "lists")
+    # lists of sets that are in different classes yet: further passes in other orders join most of them, then all pairs
+    own, least = _mixed(shared, label), None
+    discard(shared)
+    for salt in count():
+        by_key = own.select("key", "class").distinct().groupBy("key").agg(F.count("*").alias("many"))
+        left = by_key.agg(F.sum(F.col("many") * (F.col("many") - 1))).head()[0] or 0  # pairs of classes that are to be met
+        if not left or least is not None and left > GAIN * least:
+            break
+        least = left
+        met = written(_neighbours(own, salt, light).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs, links = pairs.union(met), links.union(written(_verified(met, texts, size), "near"))
+        label = components(links)
+        own, before = _mixed(own, label), own
+        discard(before)
     groups = own.groupBy("key", "class").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left, right = (groups.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "least", "most"))) for x in "ab")
     across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -17,7 +19,8 @@ def folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+        own = spark.sparkContext.applicationId
+        root = _LOCAL[own] = _LOCAL.get(own) or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,7 +28,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """The same rows, computed once and read back from the shared folder; cuts the lineage."""
     path = folder(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    read = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+def discard(frame: DataFrame) -> None:
+    """Remove what `written` wrote for this frame, once nothing reads it any more."""
+    spark, path = frame.sparkSession, _PATHS.pop(frame)
+    folder_ = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    folder_.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder_, True)  # noqa: SLF001
 
 
 def filesystem(uri: str):
