@@ -95,7 +95,7 @@ def shares(counted: DataFrame, min_docs: int = MIN_DOCS, term_block: int = TERM_
         F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / term_block)).alias("block"),
     )
     within = Window.partitionBy("lang", "block")
-    seated = written(blocked.select(
+    seated = written(blocked.repartition("lang", "block").select(  # not by language, as the join left it
         "*", (F.row_number().over(within.orderBy("term")) - 1).alias("seat"), F.count("*").over(within).cast("int").alias("seats")), "seats")
     own = written(counted.where("term IS NOT NULL").select("lang", "source", "term", "times").join(seated, ["lang", "term"]), "own")
     totals = own.groupBy("lang", "source").agg(F.sum("times").alias("total"))
