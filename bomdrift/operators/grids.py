@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from bomdrift.functions.calendar import week_label
 from bomdrift.functions.measures import ratio_pct
+from bomdrift.operators import pages
 from bomdrift.operators.analytics import conformity_pct, deduplicated_production, measures
 from bomdrift.operators.selection import Selection
 
-# Page and export bounds.
-
 TEXT, COUNT, DECIMAL, EURO, PERCENT, DATE, FLAG, BADGE = (
     "text", "count", "decimal", "euro", "percent", "date", "flag", "badge",
 )
@@ -122,6 +121,7 @@ _EQUIVALENT = _col("product_equivalent", "Product equivalent", DECIMAL, 1)
 _PRODUCED = _col("produced_qty", "Produced", DECIMAL)
 _LATEST = ("week_start", True)
 
+# Columns, keys and orders of the six grids.
 GRIDS: dict[str, Grid] = {
     g.key: g
     for g in (
@@ -280,16 +280,10 @@ def grid(key: str, fact: DataFrame, sel: Selection) -> DataFrame:
 # -- pages and export --------------------------------------------------------------
 
 
-def sort_columns(
-    sortable: set[str], ties: Sequence[tuple[str, bool]], sort: str, desc: bool
-) -> list[Column]:
-    """Sort key with nulls last both ways, then the tie-breakers."""
-    if sort not in sortable:
-        raise ValueError(f"sorting on {sort} is not allowed")
-    direction = lambda name, down: (
-        F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last()
-    )
-    return [direction(sort, desc), *[direction(n, d) for n, d in ties if n != sort]]
+def order_of(grid_key: str, sort: str | None = None, desc: bool = True) -> list[tuple[str, bool]]:
+    """A grid's order by one of its sort columns, then its tie-breakers; other columns are refused."""
+    spec = GRIDS[grid_key]
+    return pages.allowed(sorted(spec.sortable), spec.ties, sort or spec.default_sort, desc)
 
 
 def page(
@@ -297,13 +291,18 @@ def page(
     number: int = 1, size: int = 50,
 ) -> DataFrame:
     """One page of a grid."""
-    spec = GRIDS[grid_key]
-    order = sort_columns(spec.sortable, spec.ties, sort or spec.default_sort, desc)
-    return slice_page(df, order, number, size)
+    return slice_page(df, pages.columns(order_of(grid_key, sort, desc)), number, size)
+
+
+def next_page(
+    df: DataFrame, grid_key: str, mark: Sequence | None, sort: str | None = None, desc: bool = True, size: int = 50
+) -> DataFrame:
+    """The page of a grid after a bookmark; it costs what the first page costs."""
+    return pages.following(df, order_of(grid_key, sort, desc), mark, size)
 
 
 def slice_page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Sorted page as a top-k with an offset; only the rows up to the page's end are kept."""
+    """Sorted page as a top-k with an offset, for pages near the start; see pages.PageIndex for jumps."""
     if size < 1 or number < 1:
         raise ValueError("pages and their size start at 1")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -322,10 +321,8 @@ def export_rows(
 
     Without a limit the order is a range partitioning: no task holds more than its range.
     """
-    spec = GRIDS[grid_key]
-    order = sort_columns(spec.sortable, spec.ties, sort or spec.default_sort, desc)
-    keys = [c.key for c in spec.chosen(columns)]
-    rows = df.orderBy(*order)
+    keys = [c.key for c in GRIDS[grid_key].chosen(columns)]
+    rows = df.orderBy(*pages.columns(order_of(grid_key, sort, desc)))
     return (rows if limit is None else rows.limit(limit)).select(*keys)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
 from bomdrift.functions.measures import zero
+from bomdrift.operators import pages
 from bomdrift.operators.combine import delete_keys, upsert
 from bomdrift.operators.selection import contains_text
 
@@ -199,6 +200,29 @@ def _searched(df: DataFrame, columns: list[str], term: str | None) -> DataFrame:
     return df.filter(any_column)
 
 
+# Columns that the catalogues sort on, and their tie-breakers.
+ITEM_SORTS = (
+    "item_id", "item_name", "category", "program", "line", "product_type", "unit_cost", "abs_impact",
+    "variance_week_count", "excluded",
+)
+ITEM_TIES = (("item_id", False),)
+BOM_SORTS = (
+    "parent_id", "component_id", "parent_name", "component_name", "line", "original_coef", "effective_coef", "active",
+    "modified_at",
+)
+BOM_TIES = (("parent_id", False), ("component_id", False))
+
+
+def item_order(sort: str = "abs_impact", desc: bool = True) -> list[tuple[str, bool]]:
+    """The order of the item catalogue by one of its sort columns; others are refused."""
+    return pages.allowed(ITEM_SORTS, ITEM_TIES, sort, desc)
+
+
+def bom_order(sort: str = "parent_id", desc: bool = False) -> list[tuple[str, bool]]:
+    """The order of the BOM catalogue by one of its sort columns; others are refused."""
+    return pages.allowed(BOM_SORTS, BOM_TIES, sort, desc)
+
+
 def item_catalogue(
     dim_item: DataFrame, agg_component: DataFrame, excluded: DataFrame,
     state: str = "all", search: str | None = None,

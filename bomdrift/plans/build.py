@@ -12,7 +12,7 @@ from bomdrift import schemas as S
 from bomdrift.operators import aggregates, dims, facts, quality, zones
 from bomdrift.plans.versions import Entry, Store
 from bomdrift.sources import views
-from bomdrift.sources.testdata import Sources
+from bomdrift.sources.views import Sources
 
 
 @dataclass(frozen=True)

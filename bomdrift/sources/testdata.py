@@ -7,12 +7,11 @@ parents come from `customer`, items from the whole of `part`, and an issue origi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
+from bomdrift.sources.views import Sources
 
 # Fixed values of the mapping.
 PARENTS = 40
@@ -20,21 +19,6 @@ COMPANY = "C1"
 DATE_FROM = "1995-01-01"
 
 
-@dataclass(frozen=True)
-class Sources:
-    """The six source tables."""
-
-    invent_trans: DataFrame
-    invent_trans_origin: DataFrame
-    prod_table: DataFrame
-    silver_bom: DataFrame
-    silver_base_article: DataFrame
-    produits_fabriques: DataFrame
-
-    def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
