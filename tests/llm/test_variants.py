@@ -137,6 +137,7 @@ def spelled(seed):
     text = []
     for k, w in enumerate(vocabulary):
         text += [w if r.random() < 0.5 else w.upper() if w.isascii() else w] * r.choice([1, 4, 5, 6, 30, 200])
+    text += ["nnnnnn"] * 250 + ["nnnnnno"] * 40 + ["nnnnnnop"] * 7  # a form of a form
     r.shuffle(text)
     docs = [(k, " ".join(text[k::40])) for k in range(40)]
     return docs + [(None, "aaaaaa bbbbbb " * 9), (None, "aaaaaa bbbbbb " * 9), (50, None), (51, ""), (51, "12 ?"), (7, docs[7][1])]
