@@ -38,6 +38,8 @@ SYMBOLS = 1 << 15
 LISTED = 1 << 18
 SHAPES = 64
 CHUNK = 64
+#: Steps after which vectors are scaled; emissions are far above the 1e-70 that this many would need to vanish.
+SCALED = 4
 #: Tokens of the texts that a task holds while it looks up their words' emissions, about.
 HELD = 1 << 24
 ROUNDS = 5
@@ -236,20 +238,26 @@ def chunked(values: np.ndarray, at: np.ndarray) -> Chunks:
     return Chunks(ids, np.searchsorted(-length[longest], -step, "left"), order, offset)
 
 
-def products(c: Chunks, m: Model) -> tuple[np.ndarray, np.ndarray]:
+def emitted(c: Chunks, m: Model) -> np.ndarray:
+    """(token of the chunk, state, chunk): emissions, states before chunks so that sums over states run along chunks."""
+    return np.ascontiguousarray(m.emit[c.ids.T].transpose(0, 2, 1))
+
+
+def products(c: Chunks, m: Model, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per chunk in document order, the scaled product of its steps' matrices, and the log of the scale."""
     k, n = len(m.start), len(c.ids)
-    out, log = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
-    for t in range(CHUNK):
-        a = c.active[t]
+    out, log, turn = np.repeat(np.eye(k)[:, :, None], n, 2), np.zeros(n), np.ascontiguousarray(m.move.T)
+    for t, a in enumerate(c.active):
         if not a:
             break
-        out[:a] = (out[:a].reshape(a * k, k) @ m.move).reshape(a, k, k) * m.emit[c.ids[:a, t]][:, None, :]
-        if t % 8 == 7 or t == CHUNK - 1 or c.active[t + 1] < a:
-            scale = out[:a].max((1, 2))
-            out[:a] /= scale[:, None, None]
+        x = np.matmul(turn, out[:, :, :a])
+        x *= e[t, :, :a]
+        if t % SCALED == SCALED - 1 or t == CHUNK - 1 or c.active[t + 1] < a:
+            scale = x.max((0, 1))
+            x *= 1 / scale
             log[:a] += np.log(scale)
-    return out[c.order], log[c.order]
+        out[:, :, :a] = x
+    return out.transpose(2, 0, 1)[c.order], log[c.order]
 
 
 def _along(c: Chunks, forward: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,7 +271,7 @@ def _along(c: Chunks, forward: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def likelihood(c: Chunks, m: Model) -> np.ndarray:
     """Natural log of every document's probability."""
-    step, log = products(c, m)
+    step, log = products(c, m, emitted(c, m))
     state, total = np.tile(m.start, (len(c.offset) - 1, 1)), np.zeros(len(c.offset) - 1)
     for docs, chunk in _along(c, True):
         state[docs] = np.einsum("dk,dkj->dj", state[docs], step[chunk])
@@ -276,7 +284,8 @@ def likelihood(c: Chunks, m: Model) -> np.ndarray:
 def expected(c: Chunks, m: Model, into: Model) -> None:
     """Add the expected starts, moves and emissions of all documents to `into`."""
     k, n = len(m.start), len(c.ids)
-    step, _ = products(c, m)
+    e = emitted(c, m)
+    step, _ = products(c, m, e)
     left, right = np.empty((n, k)), np.empty((n, k))  # forward before, backward after each chunk, in document order
     state = np.tile(m.start, (len(c.offset) - 1, 1))
     for docs, chunk in _along(c, True):
@@ -292,29 +301,38 @@ def expected(c: Chunks, m: Model, into: Model) -> None:
     into.start += (first / first.sum(1, keepdims=True)).sum(0)
     of = np.empty(n, np.int64)  # the document order of each row of ids
     of[c.order] = np.arange(n)
-    alpha = np.empty((CHUNK + 1, n, k))
-    alpha[0] = left[of]
-    for t in range(CHUNK):
-        a = c.active[t]
-        x = (alpha[t, :a] @ m.move) * m.emit[c.ids[:a, t]]
-        alpha[t + 1, :a] = x / x.sum(1, keepdims=True)
-    beta = right[of]
+    alpha, turn = np.empty((CHUNK + 1, k, n)), np.ascontiguousarray(m.move.T)
+    alpha[0] = left[of].T
+    for t, a in enumerate(c.active):
+        x = turn @ alpha[t, :, :a]
+        x *= e[t, :, :a]
+        if t % SCALED == SCALED - 1:
+            x *= 1 / x.sum(0)
+        alpha[t + 1, :, :a] = x
+    beta, done = np.ascontiguousarray(right[of].T), 0
     for t in range(CHUNK - 1, -1, -1):
         a = c.active[t]
         if not a:
             continue
-        ids, gamma = c.ids[:a, t], alpha[t + 1, :a] * beta[:a]
-        gamma /= gamma.sum(1, keepdims=True)
-        alpha[t + 1, :a] = gamma
-        ahead = m.emit[ids] * beta[:a]
-        before = ahead @ m.move.T
-        total = (alpha[t, :a] * before).sum(1, keepdims=True)
-        into.move += m.move * (alpha[t, :a].T @ (ahead / total))
-        beta[:a] = before / before.sum(1, keepdims=True)
+        if a > done:  # chunks that end here
+            last = alpha[t + 1, :, done:a] * beta[:, done:a]
+            alpha[t + 1, :, done:a] = last / last.sum(0)
+            done = a
+        ahead = e[t, :, :a] * beta[:, :a]
+        before = m.move @ ahead
+        both = alpha[t, :, :a] * before
+        scale = 1 / both.sum(0)
+        ahead *= scale
+        into.move += m.move * (alpha[t, :, :a] @ ahead.T)
+        both *= scale
+        alpha[t, :, :a] = both  # from here on the probabilities of the states
+        if t % SCALED == 0:
+            before *= 1 / before.sum(0)
+        beta[:, :a] = before
     ids = np.concatenate([c.ids[:a, t] for t, a in enumerate(c.active)])
-    gamma = np.concatenate([alpha[t + 1, :a] for t, a in enumerate(c.active)])
     for s in range(k):
-        np.add.at(into.emit[:, s], ids, gamma[:, s])
+        gamma = np.concatenate([alpha[t + 1, s, :a] for t, a in enumerate(c.active)])
+        into.emit[:, s] += np.bincount(ids, gamma, len(into.emit))
 
 
 @dataclass
