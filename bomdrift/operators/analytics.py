@@ -145,7 +145,7 @@ def kpis(fact: DataFrame, sel: Selection, measure: str = VALUE, compare: bool =
         return kpi_rows(bundle.selectExpr(*[f"{m} AS cur_{m}" for m in MEASURES]), measure)
     now, before = sel.predicate(fact), sel.previous().predicate(fact)
     by_period = (
-        fact.withColumn("period", F.when(now, "cur").when(before, "prev"))
+        sel.restricted(fact).withColumn("period", F.when(now, "cur").when(before, "prev"))
         .filter(now | before)
         .groupBy("period")
         .agg(*measures(sel))

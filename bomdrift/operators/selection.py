@@ -31,7 +31,6 @@ def matching(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys, keys.columns, "left_semi")
 
 
-
 def contains_text(columns: list[str], term: str) -> Column:
     """Case-insensitive substring over the columns joined by spaces; no pattern characters."""
     joined = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
@@ -44,7 +43,13 @@ def _clean(values: tuple[str, ...]) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Selection:
-    """Filters of a view. Bounds are inclusive and bear on the Monday of the week."""
+    """Filters of a view. Bounds are inclusive and bear on the Monday of the week.
+
+    Short lists are literals. `tables` holds lists of any length as tables of keys, whose columns are named as the
+    fact's (one or several: parent_id; parent_id and component_id). A row must be in each of them; NULL keys match
+    nothing, repeated ones count once, and a table with a column that a fact lacks does not bear on it. Spark joins
+    them to the fact and, where it pays, prunes the fact's scan by their weeks or by a Bloom filter of their keys.
+    """
 
     date_from: date | None = None
     date_to: date | None = None
@@ -64,6 +69,7 @@ class Selection:
     min_impact: float | None = None
     uniform_only: bool = False
     hide_conforming: bool = False
+    tables: tuple[DataFrame, ...] = ()
 
     def __post_init__(self) -> None:
         def put(name: str, value: object) -> None:
@@ -79,6 +85,7 @@ class Selection:
                 raise ValueError(f"{name}: unknown {sorted(unknown)}")
             put(name, values)
         put("weeks", tuple(self.weeks))
+        put("tables", tuple(self.tables))
         if self.search is not None:
             put("search", self.search.strip() or None)
         if self.date_from and self.date_to and self.date_from > self.date_to:
@@ -141,11 +148,17 @@ class Selection:
         return found
 
     def predicate(self, df: DataFrame) -> Column:
+        """The filters as one condition; tables of keys are joins and no part of it: see `restricted`."""
         return reduce(lambda a, b: a & b, self.conditions(df.columns), F.lit(True))
 
+    def restricted(self, df: DataFrame) -> DataFrame:
+        """The rows whose keys are in all tables of keys that bear on df."""
+        bearing = [keys for keys in self.tables if set(keys.columns) <= set(df.columns)]
+        return reduce(matching, bearing, df)
+
     def apply(self, df: DataFrame) -> DataFrame:
         conditions = self.conditions(df.columns)
-        return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df
+        return self.restricted(df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df)
 
 
 # Checks whose anomaly is a set of fact rows, and the selection that shows them.

@@ -78,65 +78,62 @@ def crosstab(
 
     Quantity mode compares produced units with product equivalents, value mode amounts.
     Production rows come by total, variance rows by absolute total. The share of the total
-    row is Σ|component total| / production. Only the calendar (one row per week) is read on
-    the driver, to name the columns.
+    row is Σ|component total| / production. Each input is read once: grouping sets give the rows and
+    the total together. Only the calendar (one row per week) is read on the driver, to name the columns.
     """
     _check_measure(measure)
     made = "produced_value" if measure == VALUE else "produced_qty"
     gap = "variance_value" if measure == VALUE else "product_equivalent"
     weeks = [row.week_start for row in calendar.select("week_start").orderBy("week_start").collect()]
+    kind = variance.schema["variance_qty"].dataType
+    cell = lambda block, reference, name, bom, coef, week, amount: [
+        F.lit(block).alias("block"), reference.alias("reference"), name.alias("name"), bom.alias("bom"),
+        coef.alias("coef"), week.alias("week_start"), amount.alias("amount"),
+    ]
+    none = F.lit(None).cast("string")
+    # A row of no block, so that the total is there even where no row is.
+    anchor = production.sparkSession.range(1).select(
+        *cell("none", none, none, none, zero(), F.lit(None).cast("date"), F.lit(0).cast(kind))
+    )
     cells = production.select(
-        F.lit("production").alias("block"), F.col("parent_id").alias("reference"),
-        F.col("parent_name").alias("name"), F.col("bom_id").alias("bom"),
-        zero().alias("coef"), "week_start", F.col(made).alias("amount"),
+        *cell("production", F.col("parent_id"), F.col("parent_name"), F.col("bom_id"), zero(), F.col("week_start"), F.col(made))
     ).unionByName(
         variance.select(
-            F.lit("variance").alias("block"), F.col("component_id").alias("reference"),
-            F.col("component_name").alias("name"), F.lit(None).cast("string").alias("bom"),
-            F.col("bom_coef").alias("coef"), "week_start", F.col(gap).alias("amount"),
-        )
-    )
-    in_week = [
-        F.expr(
-            f"coalesce(sum(amount) FILTER (WHERE week_start = DATE '{week}'), 0)"
-            f" AS {week_column(week)}"
+            *cell("variance", F.col("component_id"), F.col("component_name"), none, F.col("bom_coef"), F.col("week_start"), F.col(gap))
         )
-        for week in weeks
-    ]
+    ).unionByName(anchor)
     columns = [week_column(week) for week in weeks]
     rows = cells.groupBy("block", "reference").agg(
-        F.max("name").alias("name"),
-        F.coalesce(F.max("bom"), F.lit(_DASH)).alias("bom"),
-        F.min("coef").alias("coef"),
-        *in_week,
-        F.sum("amount").alias("total"),
-    )
-    body = rows.select(
-        "block", "reference", F.coalesce("name", F.lit(_DASH)).alias("name"),
-        F.when(F.col("block") == "production", F.col("bom"))
-        .otherwise(_coef_text(F.col("coef"))).alias("complement"),
-        *columns, "total", F.lit(None).cast("double").alias("share_pct"),
-    )
-    is_made = F.col("block") == "production"
-    whole = F.coalesce(F.sum(F.when(is_made, F.col("total"))), zero())
-    gaps = F.coalesce(F.sum(F.when(~is_made, F.abs("total"))), zero())
-    total = rows.agg(
+        F.max("name").alias("name"), F.max("bom").alias("bom"), F.min("coef").alias("coef"),
         *[
-            F.expr(f"coalesce(sum({c}) FILTER (WHERE block = 'production'), 0) AS {c}")
-            for c in columns
+            F.expr(f"coalesce(sum(amount) FILTER (WHERE week_start = DATE '{week}'), 0) AS {name}")
+            for week, name in zip(weeks, columns)
         ],
-        whole.alias("total"),
-        gaps.alias("gaps"),
-    ).select(
-        F.lit("total").alias("block"), F.lit(_DASH).alias("reference"), F.lit(_DASH).alias("name"),
-        F.lit(_DASH).alias("complement"), *columns, "total",
-        F.when(F.col("total") != 0,
-               F.col("gaps").cast("double") / F.col("total").cast("double") * 100)
-        .otherwise(F.lit(0.0)).alias("share_pct"),
-    )
-    return body.unionByName(total).orderBy(
-        F.col("block"), F.abs("total").desc(), F.col("reference")
+        F.sum("amount").alias("total"),
     )
+    # Body and total in one aggregation: the rows are grouped by themselves and all together.
+    is_made = F.col("block") == "production"
+    whole = F.grouping_id() != 0
+    counted = lambda name: F.when(
+        whole, F.coalesce(F.sum(F.when(is_made, F.col(name))), zero())
+    ).otherwise(F.sum(name)).alias(name)
+    both = rows.groupingSets([["block", "reference"], []], "block", "reference").agg(
+        whole.alias("whole"),
+        F.max("name").alias("name"), F.max("bom").alias("bom"), F.min("coef").alias("coef"),
+        *[counted(name) for name in [*columns, "total"]],
+        F.coalesce(F.sum(F.when(F.col("block") == "variance", F.abs("total"))), zero()).alias("gaps"),
+    ).filter(F.col("whole") | (F.col("block") != "none"))
+    or_dash = lambda c: F.coalesce(c, F.lit(_DASH))
+    pct = F.col("gaps").cast("double") / F.col("total").cast("double") * 100
+    return both.select(
+        F.when(F.col("whole"), "total").otherwise(F.col("block")).alias("block"),
+        F.when(F.col("whole"), _DASH).otherwise(F.col("reference")).alias("reference"),
+        F.when(F.col("whole"), _DASH).otherwise(or_dash(F.col("name"))).alias("name"),
+        F.when(F.col("whole"), _DASH).when(is_made, or_dash(F.col("bom")))
+        .otherwise(_coef_text(F.col("coef"))).alias("complement"),
+        *columns, "total",
+        F.when(F.col("whole"), F.when(F.col("total") != 0, pct).otherwise(F.lit(0.0))).alias("share_pct"),
+    ).orderBy(F.col("block"), F.abs("total").desc(), F.col("reference"))
 
 
 # -- orders behind a cell ----------------------------------------------------------
