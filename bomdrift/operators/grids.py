@@ -332,14 +332,26 @@ def export_truncated(df: DataFrame, limit: int | None = None) -> DataFrame:
     return df.agg(total.alias("total"), (F.lit(False) if limit is None else total > limit).alias("truncated"))
 
 
+def _plain(value: Column) -> Column:
+    """All digits of a double without an exponent, from 1e-20 to 1e20; others keep theirs."""
+    text, size = value.cast("string"), F.abs(value)
+    digits = lambda kind: value.try_cast(kind).cast("string")
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1e7) & (size < 1e20), digits("decimal(38,17)"))
+        .when((size >= 1e-20) & (size < 1e-3), digits("decimal(38,37)"))
+        .otherwise(text)
+    )
+
+
 def _as_text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType.simpleString()
     value = F.col(name)
     if kind == "boolean":
         text = F.when(value, "Oui").otherwise("Non")
     elif kind.startswith("decimal") or kind in ("double", "float"):
-        fixed = value.cast("decimal(38,6)").cast("string")
-        short = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "\\.$", "")
+        whole = value.cast("string") if kind.startswith("decimal") else _plain(value)
+        short = F.regexp_replace(F.regexp_replace(whole, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
         text = F.translate(short, ".", ",")
     elif kind in ("tinyint", "smallint", "int", "bigint"):
         text = value.cast("string")

@@ -85,7 +85,7 @@ def crosstab(
     made = "produced_value" if measure == VALUE else "produced_qty"
     gap = "variance_value" if measure == VALUE else "product_equivalent"
     weeks = [row.week_start for row in calendar.select("week_start").orderBy("week_start").collect()]
-    kind = variance.schema["variance_qty"].dataType
+    kind = variance.schema[gap].dataType
     cell = lambda block, reference, name, bom, coef, week, amount: [
         F.lit(block).alias("block"), reference.alias("reference"), name.alias("name"), bom.alias("bom"),
         coef.alias("coef"), week.alias("week_start"), amount.alias("amount"),

@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from bomdrift import schemas as S
 from bomdrift.operators import grids
-from bomdrift.plans import storage
+from bomdrift.plans import export, storage
 from bomdrift.plans.build import Model
 from bomdrift.plans.versions import WEEK, Entry, Store
 
 LOGGER = logging.getLogger("bomdrift.publish")
 LOG_NAME = "load_log"
-# The CSV writer strips blanks unless told otherwise.
-BLANKS_STAY = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def select_tables(names: Sequence[str] | None) -> list[str]:
@@ -131,19 +129,10 @@ def export_grid(
     limit: int | None = None, fmt: str = "parquet", sort: str | None = None,
     desc: bool = True,
 ) -> bool:
-    """Write a grid in sort order; returns whether rows were left out by the limit."""
-    rows = grids.export_rows(df, grid_key, columns, limit, sort, desc)
+    """Write a grid as an ordered set of files (see export); returns whether rows were left out by the limit."""
+    rows, labels = grids.export_rows(df, grid_key, columns, limit, sort, desc), None
     if fmt == "tsv":
-        labels = {c.key: c.label for c in grids.GRIDS[grid_key].columns}
-        text = grids.tsv_format(rows).withColumnsRenamed(labels)
-        # Tabs and line feeds are already neutralised: no quoting.
-        text.write.mode("overwrite").option("sep", "\t").option("header", True).option(
-            "quote", ""
-        ).option("emptyValue", "").options(**BLANKS_STAY).csv(path)
-    elif fmt == "csv":
-        rows.write.mode("overwrite").option("header", True).options(**BLANKS_STAY).csv(path)
-    elif fmt == "parquet":
-        rows.write.mode("overwrite").parquet(path)
-    else:
-        raise ValueError(f"unknown format {fmt}")
+        known = {c.key: c.label for c in grids.GRIDS[grid_key].columns}
+        labels, rows = [known[c] for c in rows.columns], grids.tsv_format(rows)
+    export.write(rows, path, fmt, labels)
     return grids.export_truncated(df, limit).first().truncated

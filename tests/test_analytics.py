@@ -184,3 +184,12 @@ def test_a_cell_of_many_orders_is_whole(spark, fact_rows):
     orders = synthesis.cell_orders(rows, *cell)
     assert orders.count() == 450
     assert synthesis.cell_lines(rows, orders, *cell).agg(F.sum("actual_qty")).first()[0] == 4500
+
+
+def test_crosstab_of_no_rows_has_a_total(spark, fact_rows):
+    fact = fact_rows([{"parent_line": "L", "produced_qty": 1}])
+    none = synthesis.synthesis_variance(fact.limit(0), Selection(lines=("L",)))
+    made = spark.createDataFrame([], "parent_id string, parent_name string, week_start date, produced_qty decimal(20,6), produced_value decimal(20,6), bom_id string")
+    weeks = fact.select("week_start")
+    rows = synthesis.crosstab(made, none, weeks).collect()
+    assert [(r.block, r.reference, r.w2026_14, r.total, r.share_pct) for r in rows] == [("total", "—", 0, 0, 0.0)]

@@ -84,3 +84,15 @@ def test_tsv_text(spark):
         ("", "Non", "", "-0,25", "12.50", "", "-0,25"),
         ("x", "", "0", "100", "", "", "100"),
     ]
+
+
+def test_doubles_as_text_keep_all_digits(spark):
+    values = [1e7, 123456789.125, 1e19, 1e33, 0.00012345678901, 1e-7, 2.5, 1e-30, -1e8, float("nan"), 0.1234567891]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.v for r in grids.tsv_format(rows).collect()]
+    assert got == [
+        "10000000", "123456789,125", "10000000000000000000", "1,0E33", "0,00012345678901", "0,0000001", "2,5", "1,0E-30",
+        "-100000000", "NaN", "0,1234567891",
+    ]
+    exact = spark.sql("SELECT 1.123456789000BD AS a, 100BD AS b, CAST(1E30 AS DECIMAL(38,2)) AS c")
+    assert tuple(grids.tsv_format(exact).first()) == ("1,123456789", "100", "1" + "0" * 30)

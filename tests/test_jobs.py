@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bomdrift import schemas as S
 from bomdrift.operators import grids, quality
 from bomdrift.operators.selection import Selection
-from bomdrift.plans import build, publish, storage
+from bomdrift.plans import build, export, publish, storage
 from bomdrift.plans.versions import Store
 from bomdrift.session import work_folder
 from bomdrift.sources import views
@@ -108,7 +108,7 @@ def test_failed_publication_keeps_the_old_table(spark, ctx, folder):
 def test_export_files(spark, ctx, folder):
     df = grids.grid_components(ctx.fact, Selection())
     assert publish.export_grid(df, "components", f"{folder}/t", ["component_id", "abs_value"], 3, "tsv")
-    lines = [row for path in sorted(glob.glob(f"{folder}/t/*.csv"))
+    lines = [row for path in sorted(glob.glob(f"{folder}/t/*.txt"))
              for row in csv.reader(open(path, encoding="utf-8"), delimiter="\t")]
     assert lines[0] == ["Component", "Absolute value"] and len(lines) == 4
     assert not publish.export_grid(df, "components", f"{folder}/p")
@@ -144,12 +144,56 @@ def test_keys_are_checked_before_publication(spark, ctx, folder):
         publish.publish(spark, broken, folder, [name])
 
 
-def test_exported_blanks_stay(spark, folder):
-    df = spark.createDataFrame([(" A ", "P", "L", 1.5)], "component_id string, parent_program string, parent_line string, abs_value double")
-    for fmt, sep in (("csv", ","), ("tsv", "\t")):
-        publish.export_grid(df, "components", f"{folder}/{fmt}", ["component_id", "abs_value"], None, fmt, "abs_value")
-        back = spark.read.option("header", True).option("sep", sep).csv(f"{folder}/{fmt}")
-        assert back.first()[0] == " A "
+def test_exported_texts_come_back(spark, folder):
+    texts = [" A ", 'q"u,o', "line\nfeed", "back\\slash", "", None, "ÿ"]
+    df = spark.createDataFrame(
+        [(t, "P", "L", float(i)) for i, t in enumerate(texts)],
+        "component_id string, parent_program string, parent_line string, abs_value double")
+    for columns in (["component_id", "abs_value"], ["component_id"]):
+        path = f"{folder}/csv{len(columns)}"
+        publish.export_grid(df, "components", path, columns, None, "csv", "abs_value", False)
+        got = [r.component_id for r in export.read(spark, path).collect()]
+        assert sorted(got, key=str) == sorted(texts, key=str) or len(columns) == 1 and len(got) == len(texts)
+        publish.export_grid(df, "components", path + "t", columns, None, "tsv", "abs_value", False)
+        got = [r.component_id for r in export.read(spark, path + "t").collect()]
+        assert sorted(got) == sorted((t or "").replace("\n", " ") for t in texts)
+
+
+@pytest.mark.parametrize("fmt", export.FORMATS)
+def test_parts_joined_by_name_are_the_sorted_rows(spark, folder, fmt):
+    n = 5000
+    rows = spark.range(0, n, 1, 7).selectExpr("(id * 7919) % 5000 AS id", "concat('n', id) AS name").orderBy("id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = export.write(rows, f"{folder}/e", fmt)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest.parts) > 1 and manifest.rows == n and manifest == export.manifest_of(spark, f"{folder}/e")
+    assert [p.name for p in manifest.parts] == sorted(p.name for p in manifest.parts)
+    if fmt == "parquet":
+        whole = [r.id for p in manifest.parts for r in spark.read.parquet(f"{folder}/e/{p.name}").coalesce(1).collect()]
+    else:
+        lines = "".join(open(f"{folder}/e/{name}", encoding="utf-8").read() for name in (export.HEADER[fmt], *(p.name for p in manifest.parts))).splitlines()
+        sep = "," if fmt == "csv" else "\t"
+        assert lines[0] == f"id{sep}name" and sum(line == lines[0] for line in lines) == 1
+        whole = [int(line.split(sep)[0]) for line in lines[1:]]
+    assert whole == list(range(n))
+    part = manifest.parts[1]
+    held = {int(r.id) for r in export.read(spark, f"{folder}/e", part.first, part.rows).collect()}
+    assert held == set(range(part.first, part.first + part.rows))
+    assert export.read(spark, f"{folder}/e", n, 10).count() == 0
+
+
+def test_unfinished_and_empty_exports(spark, folder):
+    rows = spark.range(3).selectExpr("cast(id AS string) AS id")
+    export.write(rows, f"{folder}/e", "csv")
+    storage.remove(spark, f"{folder}/e/{export.MANIFEST}")
+    with pytest.raises(ValueError, match="no finished export"):
+        export.read(spark, f"{folder}/e")
+    for fmt in export.FORMATS:
+        assert export.write(rows.limit(0), f"{folder}/e", fmt).rows == 0
+        back = export.read(spark, f"{folder}/e")
+        assert back.columns == ["id"] and back.count() == 0
 
 
 def test_log_keeps_every_load_and_shows_the_last(spark, ctx, folder):

@@ -46,6 +46,32 @@ def test_kpis_read_the_fact_once(ctx):
     assert sum("FileScan" in line and "fact_variance_" in line for line in plan.splitlines()) == 1
 
 
+def test_crosstab_reads_each_input_once(ctx):
+    from checks.registry import _crosstab
+
+    plan = executed(_crosstab(ctx, "value"))
+    # One scan for production, one for the variances.
+    assert sum("FileScan" in line and "fact_variance_" in line for line in plan.splitlines()) == 2
+    assert plan.count("FileScan") == 6  # with the item master, the bills and the changes of each
+
+
+def test_a_million_parents_prune_by_a_bloom_filter(spark, ctx, folder):
+    spark.range(1_000_000).where("id % 3 = 0").selectExpr("concat('PAR-', id) AS parent_id").write.parquet(f"{folder}/keys")
+    wanted = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+              "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        keys = spark.read.parquet(f"{folder}/keys").where("parent_id > 'PAR-1'")
+        df = Selection(tables=(keys,)).apply(ctx.raw_fact)
+        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+        got = df.count()
+    finally:
+        for k in wanted:
+            spark.conf.unset(k)
+    assert got == ctx.raw_fact.where("parent_id > 'PAR-1' AND try_cast(substr(parent_id, 5) AS int) % 3 = 0").count() > 0
+
+
 def test_dq_table_reads_each_input_once_per_purpose(ctx):
     from bomdrift.operators.quality import dq_checks
 

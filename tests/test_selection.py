@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 
 from bomdrift import schemas as S
+from bomdrift.operators.analytics import kpis
 from bomdrift.operators.selection import Selection, preset, selection_for_check
 
 
@@ -85,3 +86,20 @@ def test_presets_are_clipped_to_history(fact_rows):
 def test_checks_without_rows_have_no_selection():
     assert selection_for_check("couverture_referentiel") is None
     assert selection_for_check("ecart_aberrant").tolerance_pct == 100
+
+
+def test_tables_of_keys(fact_rows, spark):
+    fact = fact_rows([{"parent_id": p, "component_id": c, "week_start": w, "expected_qty": 5}
+                      for p in ("P1", "P2", "P3") for c in ("A", "B")
+                      for w in (date(2026, 3, 30), date(2026, 4, 6))])
+    parents = spark.createDataFrame([("P1",), ("P1",), ("P3",), (None,), ("no",)], "parent_id string")
+    pairs = spark.createDataFrame([("P1", "A"), ("P2", "A")], "parent_id string, component_id string")
+    other = spark.createDataFrame([("O",)], "order_id string")
+    sel = Selection(tables=(parents,))
+    assert sel.apply(fact).count() == 8 and sel.with_(components=("A",)).apply(fact).count() == 4
+    assert sel.with_(tables=(parents, pairs)).apply(fact).count() == 2
+    assert sel.with_(tables=(other,)).apply(fact).count() == 12  # no such column: does not bear on the fact
+    assert sel.with_(tables=(parents.limit(0),)).apply(fact).count() == 0
+    week = Selection(date(2026, 4, 6), date(2026, 4, 6), tables=(parents,))
+    shown = {r.indicator: (r.value, r.change) for r in kpis(fact, week).collect()}
+    assert shown["under_consumption"] == (20.0, 0.0)
