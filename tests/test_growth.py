@@ -72,7 +72,7 @@ def test_orders_reconcile_as_the_join_does(spark, tasks):
     made, used, bom, orders = sides(spark)
     joined = facts.reconcile(facts.explode_bom(made, bom), used, facts.ORDER_KEYS)
     keyed = facts.reconcile_orders(made, used, bom, orders, tasks)
-    got = facts._matched(keyed, facts.ORDER_KEYS).select(*joined.columns)
+    got = facts._matched(facts._expected(keyed), facts.ORDER_KEYS).select(*joined.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, joined.collect()))
     assert joined.where("order_id IS NULL").count() == 3 and got.count() == 9
     assert {(r.order_id, r.order_bom_id, r.status) for r in keyed.collect()} == {("O-1", "B-1", 7), ("O-2", "B-2", None), (None, None, None)}
@@ -140,6 +140,19 @@ def test_weeks_of_many_rows_are_dealt_to_more_tasks(spark, ctx, monkeypatch):
     assert dealt.drop("task").exceptAll(rows).count() == 0 and dealt.count() == n
 
 
+def test_long_sources_are_dealt_to_more_tasks(spark, monkeypatch):
+    from bomdrift.sources import testdata
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f"({tasks + 1}" not in executed(testdata.invent_trans(spark, SMALL))
+    monkeypatch.setattr(testdata, "BYTES_PER_PARTITION", 5000)
+    before = testdata.invent_trans(spark, SMALL)
+    wide = re.findall(r"hashpartitioning\(k#\d+L, (\d+)\)", executed(before))
+    assert wide and all(int(n) > tasks for n in wide)
+    monkeypatch.undo()
+    assert before.exceptAll(testdata.invent_trans(spark, SMALL)).count() == 0
+
+
 def test_origins_are_dealt_by_order_once(ctx, tight):  # noqa: F811
     from bomdrift.sources import testdata
 
