@@ -13,7 +13,9 @@ Links are wanted as classes, so not every pair of a list is verified. First each
 with the list's least node and with the one before it. Further passes do so in other orders, for sets that are in
 different classes yet, while pairs of classes become fewer. Then every pair of a list that is still not in one class is
 compared: no link between classes is lost, and large groups of copies stay linear. Pairs that share too few keys for
-their sizes are not verified.
+their sizes are not verified, nor pairs that differ in too many parities: every set has 512 bits, each the parity of its
+shingles of one hash, and sets differ by at least as many shingles as bits. Of a class in a list, the bits that all and
+that any of its sets have bound what it differs from another class by, before their sets meet.
 
 Null doc_ids count as larger than any other. Null and empty texts have an empty set and are linked with
 nothing. Rows that repeat are alike. An empty table gives an empty result.
@@ -44,6 +46,9 @@ CHUNKS = 64
 NONE = 2**63 - 1
 #: Comparisons of a set in an inverted list: with its least node and the one before it.
 VISITS = 2
+#: Words of 64 bits with the parities of a set; FOLDED of them, each the XOR of two, go with the rows of lists.
+PARITIES = [f"p{i}" for i in range(8)]
+FOLDED = [f"f{i}" for i in range(4)]
 #: Passes go on while they leave at most this share of the pairs of classes.
 GAIN = 0.9
 
@@ -70,13 +75,22 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
+def _parities(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of every set a row of words whose bits are the parities of its shingles by nine bits of their hash."""
+    bits = np.zeros((len(at) - 1) * len(PARITIES), np.uint64)
+    place = values >> np.uint64(55)
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_xor.at(bits, rows * len(PARITIES) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return bits.view(np.int64).reshape(-1, len(PARITIES))
+
+
 def _ids(batch: pa.RecordBatch) -> pa.Array:
     return batch["doc_id"].cast(pa.int64()).fill_null(NONE)
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Per document (doc_id, n, node, check): node and check are 128 bits of its set. Per task its sketch, by (chunk, counts)."""
-    names = ["doc_id", "n", "node", "check", "chunk", "counts"]
+    """Per document (doc_id, n, node, check, parities): node and check are 128 bits of its set. Per task its sketch, by (chunk, counts)."""
+    names = ["doc_id", "n", "node", "check", "chunk", "counts", *PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
@@ -85,13 +99,14 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             seen += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             node, check = (mix(_sums(mix(value ^ np.uint64(salt)), at)).view(np.int64) for salt in (0, 0x5DEECE66D))
             none = lambda kind: pa.nulls(batch.num_rows, kind)  # noqa: B023, E731
-            yield pa.record_batch([_ids(batch), pa.array(np.diff(at), pa.int64()), pa.array(node), pa.array(check), none(pa.int32()), none(pa.binary())], names)
+            yield pa.record_batch([_ids(batch), pa.array(np.diff(at), pa.int64()), pa.array(node), pa.array(check), none(pa.int32()), none(pa.binary()), *map(pa.array, _parities(value, at).T.copy())], names)
         if seen.any():
             counts = [zlib.compress(part.tobytes(), 1) for part in np.minimum(seen, 2**32 - 1).astype(np.uint32).reshape(CHUNKS, -1)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.record_batch([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(counts, pa.binary())], names)
+            yield pa.record_batch([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(counts, pa.binary()), *[none] * len(PARITIES)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, `check` long, chunk int, counts binary")
+    schema = "doc_id long, n long, node long, `check` long, chunk int, counts binary, " + ", ".join(f"{p} long" for p in PARITIES)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _levels(seen: DataFrame) -> np.ndarray:
@@ -213,7 +228,7 @@ def _lists(postings: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; only the texts of their nodes become sets."""
+    """The pairs (a, b) whose sets are similar, written; only the texts of their nodes become sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets_of(texts.join(nodes, "node"), size), "sets")
     own = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
@@ -230,7 +245,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             keep = pa.array(like, pa.bool_())
             yield pa.record_batch([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    near = written(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near")
+    discard(sets)
+    return near
 
 
 def _sets_of(texts: DataFrame, size: int) -> DataFrame:
@@ -260,6 +277,25 @@ def _size_fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
+def _parity_fits(differ: str, shingles: str) -> str:
+    """Whether sets of so many shingles together may be similar if they differ in at least so many."""
+    return f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({shingles})"
+
+
+def _unlike(names: list[str], ones: str, zeros: str) -> str:
+    """The bits that are set in `ones` and not in `zeros`, counted."""
+    return " + ".join(f"bit_count({ones.format(p)} & ~{zeros.format(p)})" for p in names)
+
+
+def _by_parity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by the parities of their sets."""
+    met = pairs
+    for x in "ab":
+        met = met.join(nodes.select(*(F.col(c).alias(c + ("" if c == "node" else f"_{x}")) for c in ("node", "n", *PARITIES))).withColumnRenamed("node", x), x)
+    differ = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITIES)
+    return met.where(_parity_fits(differ, "n_a + n_b")).select("a", "b")
+
+
 def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
     """(key, node, n, class) of the lists whose nodes are in several classes."""
     own = lists.select("key", "node", "n").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
@@ -281,11 +317,36 @@ def _neighbours(own: DataFrame, salt: int, light: int) -> DataFrame:
     return many.where(_alike(light, 1 / 8)).select("a", "b")
 
 
+def _across(own: DataFrame, nodes: DataFrame, light: int) -> DataFrame:
+    """All pairs (a, b) of the lists' nodes of different classes that may be similar by their sizes, parities and keys."""
+    folded = (F.col(p).bitwiseXOR(F.col(q)).alias(f) for f, p, q in zip(FOLDED, PARITIES, PARITIES[len(FOLDED) :]))
+    own = own.join(nodes.select("node", *folded), "node")
+    groups = own.groupBy("key", "class").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        *(F.bit_and(f).alias(f"all_{f}") for f in FOLDED), *(F.bit_or(f).alias(f"any_{f}") for f in FOLDED))
+    left, right = (groups.select("key", *(F.col(c).alias(f"{c}_{x}") for c in groups.columns if c != "key")) for x in "ab")
+    apart = f"{_unlike(FOLDED, 'all_{}_a', 'any_{}_b')} + {_unlike(FOLDED, 'all_{}_b', 'any_{}_a')}"
+    across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")
+    across = across.where(_parity_fits(apart, "most_a + most_b"))
+    members = lambda x: own.select("key", *(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("class", "node", "n", *FOLDED)))
+    apart = f"{_unlike(FOLDED, '{}_a', 'any_{}_b')} + {_unlike(FOLDED, 'all_{}_b', '{}_a')}"
+    met = across.join(members("a"), ["key", "class_a"]).where(_parity_fits(apart, "n_a + most_b"))
+    met = met.select("key", "class_b", "a", "n_a", *(f"{f}_a" for f in FOLDED))
+    differ = " + ".join(f"bit_count({f}_a ^ {f}_b)" for f in FOLDED)
+    met = met.join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b")).where(_parity_fits(differ, "n_a + n_b"))
+    least, most = (F.col("a") < F.col("b")), (F.col("a") > F.col("b"))
+    size_of = lambda first, x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    many = met.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(
+        F.count("*").alias("keys"), F.max(size_of(least, "n_a", "n_b")).alias("n_p"), F.max(size_of(most, "n_a", "n_b")).alias("n_q"))
+    many = many.select(F.col("p").alias("a"), F.col("q").alias("b"), "keys", F.col("n_p").alias("n_a"), F.col("n_q").alias("n_b"))
+    return _by_parity(many.where(_alike(light)).select("a", "b"), nodes)
+
+
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its class) for every row of docs."""
     spark = docs.sparkSession
     seen = written(_signatures(docs, size), "signatures")
-    rows = seen.where("chunk IS NULL").select("doc_id", "n", "node", F.col("check"))
+    rows = seen.where("chunk IS NULL").select("doc_id", "n", "node", F.col("check"), *PARITIES)
     level = _levels(seen)
     sizes = {r["n"]: r["count"] for r in rows.where("n > 0").groupBy("n").count().collect()}  # a row per set size
     light = boundary(sizes)
@@ -295,14 +356,16 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     shared = written(_lists(postings), "lists")
     hubs = shared.select("node", F.explode(F.array_distinct(F.array("low", "last"))).alias("hub")).where("node != hub")
     many = hubs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count("*").alias("keys"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), *(F.max(p).alias(p) for p in PARITIES)), "nodes")
     for x in "ab":
         many = many.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
-    pairs = written(many.where(_alike(light)).select("a", "b"), "pairs")
-    listed = shared.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), "node")
+    pairs = written(_by_parity(many.where(_alike(light)).select("a", "b"), nodes), "pairs")
+    met = [pairs]
+    # written, so that Spark plans the join with the texts on its size
+    listed = written(shared.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), "listed")
     whole = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
     texts = written(whole.join(listed, "doc_id").select("node", "text"), "texts")
-    links = written(_verified(pairs, texts, size), "near")
+    links = _verified(pairs, texts, size)
     label = components(links)
 
     # lists of sets that are in different classes yet: further passes in other orders join most of them, then all pairs
@@ -314,24 +377,15 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if not left or least is not None and left > GAIN * least:
             break
         least = left
-        met = written(_neighbours(own, salt, light).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs, links = pairs.union(met), links.union(written(_verified(met, texts, size), "near"))
+        met.append(written(_by_parity(_neighbours(own, salt, light).join(pairs, ["a", "b"], "left_anti"), nodes), "pairs"))
+        pairs, links = pairs.union(met[-1]), links.union(_verified(met[-1], texts, size))
         label = components(links)
         own, before = _mixed(own, label), own
         discard(before)
-    groups = own.groupBy("key", "class").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (groups.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "least", "most"))) for x in "ab")
-    across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")
-    members = lambda x: own.select("key", F.col("class").alias(f"class_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-    met = across.join(members("a"), ["key", "class_a"]).join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b"))
-    least, most = (F.col("a") < F.col("b")), (F.col("a") > F.col("b"))
-    size_of = lambda first, x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    many = met.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(
-        F.count("*").alias("keys"), F.max(size_of(least, "n_a", "n_b")).alias("n_p"), F.max(size_of(most, "n_a", "n_b")).alias("n_q"))
-    many = many.select(F.col("p").alias("a"), F.col("q").alias("b"), "keys", F.col("n_p").alias("n_a"), F.col("n_q").alias("n_b"))
-    more = many.where(_alike(light)).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    added = written(_verified(written(more, "pairs"), texts, size), "near")
-    label = components(links.union(added))
+    met.append(written(_across(own, nodes, light).join(pairs, ["a", "b"], "left_anti"), "pairs"))
+    label = components(links.union(_verified(met[-1], texts, size)))
+    for frame in (own, texts, listed, nodes, *met):
+        discard(frame)
 
     reps = reps.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = reps.join(reps.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("node", "check", "component_id")
