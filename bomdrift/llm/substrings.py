@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomdrift.llm.store import bundled, unbundled, written
+from bomdrift.llm.store import bundled, discard, unbundled, written
 from bomdrift.llm.words import Words, slices, words
 
 SIZE = 50
@@ -175,7 +175,10 @@ def repeats(docs: DataFrame, size: int = SIZE) -> Repeats:
     own = checked.groupBy("doc_id", "turn").agg(F.collect_list("span").alias("spans"))
     own = own.join(texts.select("doc_id", "turn", "one").distinct(), ["doc_id", "turn"]).select("doc_id", "one", F.lit(False).alias("copy"), "spans")
     copies = scanned.join(firsts.select("one", "two", "rep"), ["one", "two"]).where("rep < doc_id").select("doc_id", "one").distinct()
-    return Repeats(written(own.unionByName(copies.select("doc_id", "one", F.lit(True).alias("copy"), F.lit(None).cast(own.schema["spans"].dataType).alias("spans"))), "hits"), texts)
+    hits = written(own.unionByName(copies.select("doc_id", "one", F.lit(True).alias("copy"), F.lit(None).cast(own.schema["spans"].dataType).alias("spans"))), "hits")
+    for frame in (scanned, firsts, spans):
+        discard(frame)
+    return Repeats(hits, texts)
 
 
 def _matching(rows: DataFrame) -> DataFrame:
@@ -193,7 +196,9 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Other columns may have any names that do not start with hit_ and are not n_words or n_removed; see `cleaned`.
     """
-    return _without(docs, repeats(docs, size).hits)
+    found = repeats(docs, size)
+    discard(found.texts)
+    return _without(docs, found.hits)
 
 
 def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from bomdrift.llm import jaccard, store
+from bomdrift.llm import jaccard, store, substrings
 
 
 def brute(sets: dict[int, set[str]]) -> dict[int, int]:
@@ -72,3 +72,12 @@ def test_tables_that_served_the_join_are_removed(spark, monkeypatch):
     out = jaccard.classes(spark.createDataFrame(list(family(9, 20, 80).items()), "doc_id long, text string"))
     held = {name for name, frame in made if frame in store._PATHS}
     assert not held & {"texts", "sets", "lists", "pairs", "nodes", "listed"} and out.count() == 20
+
+
+def test_tables_that_served_the_repeats_are_removed(spark, monkeypatch):
+    made, own = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda frame, name: made.append((name, own(frame, name))) or made[-1][1])
+    passage = " ".join(f"p{i}" for i in range(70))
+    out = substrings.cleaned(spark.createDataFrame([(1, "a b " + passage), (2, passage + " c"), (3, "d"), (4, "d")], "doc_id long, text string"))
+    assert not {name for name, frame in made if frame in store._PATHS} & {"scanned", "firsts", "spans", "texts"}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a b " + passage, 2: "c", 3: "d", 4: "d"}
