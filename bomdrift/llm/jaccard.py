@@ -12,7 +12,9 @@ The boundary is the set size of least cost: rows of subsets against rows of list
 Links are wanted as classes, so not every pair of a list is verified. First each set of a list is compared
 with the list's least node and with the one before it. Further passes do so in other orders, for sets that are in
 different classes yet, while pairs of classes become fewer. Then every pair of a list that is still not in one class is
-compared: no link between classes is lost, and large groups of copies stay linear. Pairs that share too few keys for
+compared: no link between classes is lost, and large groups of copies stay linear. Of the keys that two classes share,
+as many as all similar pairs of them share in excess of one are left out there, those of the most pairs first: what stays
+of a long list are pairs of classes that have few other keys in common. Pairs that share too few keys for
 their sizes are not verified, nor pairs that differ in too many parities: every set has 512 bits, each the parity of its
 shingles of one hash, and sets differ by at least as many shingles as bits. Of a class in a list, the bits that all and
 that any of its sets have bound what it differs from another class by, before their sets meet.
@@ -29,10 +31,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bomdrift.llm.bitmap import among, bitmap
 from bomdrift.llm.components import components
 from bomdrift.llm.store import discard, written
 from bomdrift.llm.words import BLANKS, mix, slices, words
@@ -227,10 +231,10 @@ def _lists(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long, n int, low long, last long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written; only the texts of their nodes become sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, listed: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written; only the texts of their nodes become sets, where they are read."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_sets_of(texts.join(nodes, "node"), size), "sets")
+    sets = written(_sets_of(docs, bitmap(listed.join(nodes, "node").select("doc_id")), size).join(nodes, "node", "left_semi"), "sets")
     own = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
     met = pairs.join(own("a"), "a").join(own("b"), "b")
 
@@ -250,18 +254,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return near
 
 
-def _sets_of(texts: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the (node, text) whose text has the set that the node stands for."""
+def _sets_of(docs: DataFrame, wanted: Broadcast, size: int) -> DataFrame:
+    """(node, set) of the documents whose ids may be wanted: each node once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        seen = set()
+        for batch in slices(batch.filter(among(_ids(batch), wanted)) for batch in batches):
             value, at = _sets(batch["text"], size)
             node = mix(_sums(mix(value), at)).view(np.int64)
-            raw, right = value.tobytes(), node == batch["node"].to_numpy()
-            own = [raw[8 * a : 8 * b] for a, b in zip(at[:-1][right].tolist(), at[1:][right].tolist())]
-            yield pa.record_batch([pa.array(node[right]), pa.array(own, pa.binary())], ["node", "set"])
+            new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+            raw = value.tobytes()
+            own = [raw[8 * a : 8 * b] for a, b in zip(at[:-1][new].tolist(), at[1:][new].tolist())]
+            yield pa.record_batch([pa.array(node[new]), pa.array(own, pa.binary())], ["node", "set"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, `set` binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, `set` binary")
 
 
 def _alike(light: int, part: float = 1) -> str:
@@ -317,27 +323,46 @@ def _neighbours(own: DataFrame, salt: int, light: int) -> DataFrame:
     return many.where(_alike(light, 1 / 8)).select("a", "b")
 
 
-def _across(own: DataFrame, nodes: DataFrame, light: int) -> DataFrame:
-    """All pairs (a, b) of the lists' nodes of different classes that may be similar by their sizes, parities and keys."""
-    folded = (F.col(p).bitwiseXOR(F.col(q)).alias(f) for f, p, q in zip(FOLDED, PARITIES, PARITIES[len(FOLDED) :]))
-    own = own.join(nodes.select("node", *folded), "node")
+def _spare(light: int) -> str:
+    """How many of the keys that two classes share each pair of similar sets in them shares at least, less one, by the classes' sizes in a list.
+
+    Sets of n >= m shingles share more than 0.8 (n + m) / 1.8 - 0.8 n first ones, see `_alike`.
+    """
+    surplus = lambda n, m: f"{PERCENT}L * (100L * {m} - {PERCENT}L * {n})"
+    both = f"least({surplus('most_a', 'least_b')}, {surplus('most_b', 'least_a')})"
+    return f"IF(greatest(least_a, least_b) <= {light}, 0L, greatest(0L, {both} DIV {100 * (100 + PERCENT)}L))"
+
+
+def _met(own: DataFrame, light: int) -> DataFrame:
+    """(key, class_a, class_b, spare) of classes that share a key and may have similar sets by their sizes and parities.
+
+    Of the keys that two classes share, the `spare` ones of the most pairs are left out; each similar pair still has one.
+    """
     groups = own.groupBy("key", "class").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"),
         *(F.bit_and(f).alias(f"all_{f}") for f in FOLDED), *(F.bit_or(f).alias(f"any_{f}") for f in FOLDED))
     left, right = (groups.select("key", *(F.col(c).alias(f"{c}_{x}") for c in groups.columns if c != "key")) for x in "ab")
     apart = f"{_unlike(FOLDED, 'all_{}_a', 'any_{}_b')} + {_unlike(FOLDED, 'all_{}_b', 'any_{}_a')}"
     across = left.join(right, "key").where(f"class_a < class_b AND 100 * most_a >= {PERCENT} * least_b AND 100 * most_b >= {PERCENT} * least_a")
     across = across.where(_parity_fits(apart, "most_a + most_b"))
+    across = across.select("key", "class_a", "class_b", F.expr("members_a * members_b").alias("many"), F.expr(_spare(light)).alias("spare"))
+    two = Window.partitionBy("class_a", "class_b")
+    across = across.withColumns({"spare": F.min("spare").over(two), "place": F.row_number().over(two.orderBy(F.desc("many"), "key"))})
+    return across.where("place > spare").select("key", "class_a", "class_b", "spare")
+
+
+def _across(own: DataFrame, nodes: DataFrame, light: int) -> DataFrame:
+    """All pairs (a, b) of the lists' nodes of different classes that may be similar by their sizes, parities and keys."""
+    folded = (F.col(p).bitwiseXOR(F.col(q)).alias(f) for f, p, q in zip(FOLDED, PARITIES, PARITIES[len(FOLDED) :]))
+    own = own.join(nodes.select("node", *folded), "node")
     members = lambda x: own.select("key", *(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("class", "node", "n", *FOLDED)))
-    apart = f"{_unlike(FOLDED, '{}_a', 'any_{}_b')} + {_unlike(FOLDED, 'all_{}_b', '{}_a')}"
-    met = across.join(members("a"), ["key", "class_a"]).where(_parity_fits(apart, "n_a + most_b"))
-    met = met.select("key", "class_b", "a", "n_a", *(f"{f}_a" for f in FOLDED))
+    met = _met(own, light).join(members("a"), ["key", "class_a"]).join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b"))
     differ = " + ".join(f"bit_count({f}_a ^ {f}_b)" for f in FOLDED)
-    met = met.join(members("b"), ["key", "class_b"]).where(_size_fits("n_a", "n_b")).where(_parity_fits(differ, "n_a + n_b"))
+    met = met.where(_parity_fits(differ, "n_a + n_b"))
     least, most = (F.col("a") < F.col("b")), (F.col("a") > F.col("b"))
     size_of = lambda first, x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     many = met.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(
-        F.count("*").alias("keys"), F.max(size_of(least, "n_a", "n_b")).alias("n_p"), F.max(size_of(most, "n_a", "n_b")).alias("n_q"))
+        (F.count("*") + F.max("spare")).alias("keys"), F.max(size_of(least, "n_a", "n_b")).alias("n_p"), F.max(size_of(most, "n_a", "n_b")).alias("n_q"))
     many = many.select(F.col("p").alias("a"), F.col("q").alias("b"), "keys", F.col("n_p").alias("n_a"), F.col("n_q").alias("n_b"))
     return _by_parity(many.where(_alike(light)).select("a", "b"), nodes)
 
@@ -361,11 +386,8 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         many = many.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
     pairs = written(_by_parity(many.where(_alike(light)).select("a", "b"), nodes), "pairs")
     met = [pairs]
-    # written, so that Spark plans the join with the texts on its size
     listed = written(shared.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), "listed")
-    whole = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
-    texts = written(whole.join(listed, "doc_id").select("node", "text"), "texts")
-    links = _verified(pairs, texts, size)
+    links = _verified(pairs, docs, listed, size)
     label = components(links)
 
     # lists of sets that are in different classes yet: further passes in other orders join most of them, then all pairs
@@ -378,13 +400,13 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             break
         least = left
         met.append(written(_by_parity(_neighbours(own, salt, light).join(pairs, ["a", "b"], "left_anti"), nodes), "pairs"))
-        pairs, links = pairs.union(met[-1]), links.union(_verified(met[-1], texts, size))
+        pairs, links = pairs.union(met[-1]), links.union(_verified(met[-1], docs, listed, size))
         label = components(links)
         own, before = _mixed(own, label), own
         discard(before)
     met.append(written(_across(own, nodes, light).join(pairs, ["a", "b"], "left_anti"), "pairs"))
-    label = components(links.union(_verified(met[-1], texts, size)))
-    for frame in (own, texts, listed, nodes, *met):
+    label = components(links.union(_verified(met[-1], docs, listed, size)))
+    for frame in (own, listed, nodes, *met):
         discard(frame)
 
     reps = reps.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
