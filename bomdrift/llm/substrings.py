@@ -23,9 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bomdrift.llm.bitmap import among, bitmap
 from bomdrift.llm.store import bundled, discard, unbundled, written
 from bomdrift.llm.words import Words, slices, words
 
@@ -127,6 +130,16 @@ def _spans(found: DataFrame, paths: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_at").alias("source_at")).drop("run")
 
 
+def _marked(docs: DataFrame, wanted: Broadcast) -> DataFrame:
+    """The rows of docs whose ids may be wanted, so that a join with the wanted ones shuffles few other texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(among(_ids(batch), wanted))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _digest(w: Words, row: int, at: int, n: int) -> bytes:
     lo = int(w.offset[row]) + at
     return hashlib.blake2b(b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[lo : lo + n].tolist(), w.end[lo : lo + n].tolist())), digest_size=16).digest()
@@ -167,8 +180,11 @@ def repeats(docs: DataFrame, size: int = SIZE) -> Repeats:
     repeated = least.groupBy("least").agg(F.count("*").alias("texts")).where("texts > 1").select("least")
     wanted = least.join(repeated, "least").groupBy("doc_id", "one").agg(F.collect_list("least").alias("least"))
     wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("one")) - 1)
-    whole = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
+    wanted = written(wanted, "wanted")
+    near = _marked(docs.select("doc_id", "text"), bitmap(wanted.select("doc_id")))
+    whole = near.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
     texts = written(_matching(whole.join(wanted, "doc_id")), "texts")
+    discard(wanted)
     found = _edges(texts, size)
     spans = written(_spans(found, _paths(found)), "spans")
     checked = spans.join(_sources(spans, texts, size), ["source", "source_at", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("turn"), F.struct(F.expr("CAST(at & 4294967295 AS int)").alias("at"), (F.col("n") + size - 1).alias("n"), "digest").alias("span"))
@@ -202,10 +218,18 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs with the text that is left, n_words, n_removed; rows that surely have no hits are not shuffled."""
+    wanted = bitmap(hits.select("doc_id"))
     hits = hits.groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_list(F.struct("one", "copy", "spans")).alias("hit_texts"))
-    rows = docs.join(hits, F.coalesce(docs["doc_id"], F.lit(NONE)) == hits["hit_doc"], "left").drop("hit_doc")
+    marked = _marked(docs, wanted)
+    rows = marked.join(hits, F.coalesce(marked["doc_id"], F.lit(NONE)) == hits["hit_doc"], "left").drop("hit_doc")
     names = docs.columns
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batch.filter(pc.invert(among(_ids(batch), wanted))) for batch in batches):
+            n = np.diff(words(batch["text"]).offset)
+            yield pa.record_batch([*batch.columns, pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64))], [*names, "n_words", "n_removed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = words(batch["text"])
@@ -230,7 +254,7 @@ def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:
             yield pa.record_batch([*columns, pa.array(np.diff(w.offset), pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
 
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return rows.select(*names, "hit_texts").mapInArrow(run, out)
+    return docs.mapInArrow(counted, out).union(rows.select(*names, "hit_texts").mapInArrow(run, out))
 
 
 def digest(rows: DataFrame, *keep: str) -> DataFrame:

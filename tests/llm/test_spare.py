@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from bomdrift.llm import bitmap, jaccard
+from bomdrift.llm import bitmap, jaccard, substrings
 from test_parity import brute, family
 
 ROW = "key long, node long, n int, class long, " + ", ".join(f"{f} long" for f in jaccard.FOLDED)
@@ -73,3 +73,16 @@ def test_a_bitmap_holds_all_its_ids_and_few_others(spark):
     assert sum(bitmap.among(pa.array(np.arange(10**7, 10**7 + 10**5)), bits).to_pylist()) < 50
     none = bitmap.bitmap(spark.createDataFrame([], "doc_id long"))
     assert not any(bitmap.among(pa.array(ids, pa.int64()), none).to_pylist())
+
+
+def test_texts_without_repeats_are_not_shuffled(spark, documents, monkeypatch):
+    """Only rows whose ids may be among the hits are joined with them; the others keep text, columns and counts."""
+    joined, own = [], substrings._marked
+    monkeypatch.setattr(substrings, "_marked", lambda docs, wanted: joined.append(own(docs, wanted)) or joined[-1])
+    documents = documents.select("doc_id", "text", "lang")
+    got = substrings.deduplicated(documents)
+    before = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert len(joined) == 2 and all(frame.count() < documents.count() for frame in joined)
+    assert got.count() == documents.count() and got.columns == ["doc_id", "text", "lang", "n_words", "n_removed"]
+    kept = [r for r in got.where("n_removed = 0").collect() if r["doc_id"] is not None]
+    assert {12, 13, 16, 20} <= {r["doc_id"] for r in kept} and all(r["text"] == before[r["doc_id"]] for r in kept)
