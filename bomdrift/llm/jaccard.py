@@ -42,6 +42,8 @@ from bomdrift.llm.store import discard, written
 from bomdrift.llm.words import BLANKS, mix, slices, words
 
 SHINGLE = 5
+#: Bytes of text that become words at once.
+SLICE = 1 << 20
 PERCENT = 80
 #: Cells of the frequency sketch, counted over all documents; one byte each is broadcast.
 CELLS = 1 << 22
@@ -98,7 +100,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             value, at = _sets(batch["text"], size)
             seen += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             node, check = (mix(_sums(mix(value ^ np.uint64(salt)), at)).view(np.int64) for salt in (0, 0x5DEECE66D))
@@ -166,7 +168,7 @@ def _postings(docs: DataFrame, size: int, level, light: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(level.value, np.uint8), set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             value, at = _sets(batch["text"], size)
             n = np.diff(at)
             node = mix(_sums(mix(value), at)).view(np.int64)
@@ -259,7 +261,7 @@ def _sets_of(docs: DataFrame, wanted: Broadcast, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in slices(batch.filter(among(_ids(batch), wanted)) for batch in batches):
+        for batch in slices((batch.filter(among(_ids(batch), wanted)) for batch in batches), limit=SLICE):
             value, at = _sets(batch["text"], size)
             node = mix(_sums(mix(value), at)).view(np.int64)
             new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)

@@ -33,6 +33,8 @@ from bomdrift.llm.store import bundled, discard, unbundled, written
 from bomdrift.llm.words import Words, slices, words
 
 SIZE = 50
+#: Bytes of text that become words at once.
+SLICE = 1 << 20
 NONE = 2**63 - 1
 
 
@@ -65,7 +67,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, one, two (128 bits of the words), n_words, and the distinct minimizers of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch["text"])
             first, _, least = _minimizers(w, size)
             row = w.row()[first]
@@ -86,7 +88,7 @@ def _edges(texts: DataFrame, size: int) -> DataFrame:
     """(edge, doc_id, at, before, after): the windows whose minimizer is among the row's, and 16 bits of the words beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch["text"])
             first, value, least = _minimizers(w, size)
             known = np.unique(batch["least"].flatten().to_numpy(zero_copy_only=False).view(np.uint64))
@@ -131,7 +133,10 @@ def _spans(found: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, wanted: Broadcast) -> DataFrame:
-    """The rows of docs whose ids may be wanted, so that a join with the wanted ones shuffles few other texts."""
+    """The rows of docs whose ids may be wanted, so that a join with the wanted ones shuffles few other texts.
+
+    That join is to shuffle: broadcast, it would hold a Python worker of this step and one of the next at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +157,7 @@ def _sources(spans: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     wanted = wanted.groupBy("doc_id", "turn").agg(F.collect_list(F.struct("source_at", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch["text"])
             for row, (doc, own) in enumerate(zip(batch["doc_id"].to_pylist(), batch["spans"].to_pylist())):
                 at, n = [x["source_at"] for x in own], [x["n"] for x in own]
@@ -183,7 +188,7 @@ def repeats(docs: DataFrame, size: int = SIZE) -> Repeats:
     wanted = written(wanted, "wanted")
     near = _marked(docs.select("doc_id", "text"), bitmap(wanted.select("doc_id")))
     whole = near.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
-    texts = written(_matching(whole.join(wanted, "doc_id")), "texts")
+    texts = written(_matching(whole.join(wanted.hint("merge"), "doc_id")), "texts")
     discard(wanted)
     found = _edges(texts, size)
     spans = written(_spans(found, _paths(found)), "spans")
@@ -201,7 +206,7 @@ def _matching(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, text, one, turn, least) whose text has the words that `one` stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             yield batch.filter(pa.array(_whole(words(batch["text"]))[0] == batch["one"].to_numpy()))
 
     return rows.select("doc_id", "one", "turn", "text", "least").mapInArrow(run, "doc_id long, one long, turn int, text string, least array<long>")
@@ -222,16 +227,16 @@ def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:
     wanted = bitmap(hits.select("doc_id"))
     hits = hits.groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_list(F.struct("one", "copy", "spans")).alias("hit_texts"))
     marked = _marked(docs, wanted)
-    rows = marked.join(hits, F.coalesce(marked["doc_id"], F.lit(NONE)) == hits["hit_doc"], "left").drop("hit_doc")
+    rows = marked.join(hits.hint("merge"), F.coalesce(marked["doc_id"], F.lit(NONE)) == hits["hit_doc"], "left").drop("hit_doc")
     names = docs.columns
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batch.filter(pc.invert(among(_ids(batch), wanted))) for batch in batches):
+        for batch in slices((batch.filter(pc.invert(among(_ids(batch), wanted))) for batch in batches), limit=SLICE):
             n = np.diff(words(batch["text"]).offset)
             yield pa.record_batch([*batch.columns, pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64))], [*names, "n_words", "n_removed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch["text"])
             one, texts, removed = None, batch["text"].to_pylist(), [0] * batch.num_rows
             for row, own in enumerate(batch["hit_texts"].to_pylist()):
@@ -272,7 +277,7 @@ def _whole_digest(docs: DataFrame) -> DataFrame:
     """doc_id, one, n_words, kept_sha256 of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch["text"])
             sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch["text"].to_pylist()]
             yield pa.record_batch([_ids(batch), pa.array(_whole(w)[0]), pa.array(np.diff(w.offset), pa.int64()), pa.array(sha)], ["doc_id", "one", "n_words", "kept_sha256"])
