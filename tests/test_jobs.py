@@ -11,9 +11,13 @@ from bomdrift import schemas as S
 from bomdrift.operators import grids, quality
 from bomdrift.operators.selection import Selection
 from bomdrift.plans import build, export, publish, storage
-from bomdrift.plans.versions import Store
+from bomdrift.plans.versions import Entry, Store
 from bomdrift.session import work_folder
 from bomdrift.sources import views
+from checks.compare import TABLES, compare, connect
+from checks.context import Context
+from checks.registry import ORACLE, QUERIES
+from tests.conftest import SMALL
 
 
 def test_lazy_and_written_models_agree(ctx):
@@ -201,3 +205,38 @@ def test_log_keeps_every_load_and_shows_the_last(spark, ctx, folder):
     publish.publish(spark, ctx.model, folder, ["dim_bom"], "r2")
     assert spark.read.parquet(f"{folder}/{publish.LOG_NAME}").count() == 2
     assert [r.run_id for r in publish.read_log(spark, folder).collect()] == ["r2"]
+
+
+def small_orders(folder, condition="o_orderdate < DATE '1995-02-01'"):
+    """The smallest tables with the orders of a condition and their lines alone."""
+    con = connect(SMALL)
+    con.execute(f"CREATE VIEW kept AS SELECT * FROM orders WHERE {condition}")
+    rows = {"orders": "SELECT * FROM kept", "lineitem": "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kept)"}
+    for name in TABLES:
+        con.execute(f"COPY ({rows.get(name, f'SELECT * FROM {name}')}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return folder
+
+
+def test_k1_build_reads_the_version_that_the_build_commits(spark, folder, monkeypatch):
+    sf_dir = small_orders(folder)
+    own = Context(spark, sf_dir)
+    own.folder = f"{folder}/work"
+    monkeypatch.setattr("checks.registry.context", lambda *_: own)
+    assert QUERIES["s9_read_table"](spark, sf_dir).count() > 0  # a version of one table
+    store = Store(spark, f"{own.folder}/model")
+    assert set(store.version().tables) == {"fact_production"}
+    before = own.model.entries["fact_production"]
+    con = connect(sf_dir)
+    assert compare(spark, con, QUERIES["k1_build"], ORACLE["k1_build"], sf_dir) is None
+    version = store.version()
+    assert set(S.TABLES) <= set(version.tables) and version.tables["fact_production"] == before
+    assert compare(spark, con, QUERIES["k1_build"], ORACLE["k1_build"], sf_dir) is None
+    assert store.version() == version
+
+
+def test_a_model_that_the_gate_refuses_is_no_version(spark, ctx, folder):
+    bad = spark.createDataFrame([("c", S.ERROR, "d", 9, 5, True, "m")], S.TABLES["dq_checks"].schema)
+    model = build.Model(ctx.sources, ctx.params, {"dq_checks": bad}, {"dim_bom": Entry("{}", {})})
+    with pytest.raises(quality.DataQualityError, match="c = 9"):
+        build.complete(spark, model, folder)
+    assert Store(spark, folder).version().number == 0
